@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import mixing as _mixing
-from .common import table
+from . import ngram_join as _ngrams
+from . import quality_rules as _rules
+from . import token_store as _store
+from .common import new_path, table
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,31 @@ FROM counts, range(0, n) AS t(c)
 """
 
 
+def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.9 or more of their 3-word shingles."""
+    found = _ngrams.similarity_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicate_sql(k: int, num: int, den: int, docs: str = "documents") -> str:
+    """WITH clauses up to comp (doc_id, n_shingles, component_id)."""
+    leads = " || ' ' || ".join(f"lead(w, {j}) OVER p" for j in range(1, k))
+    return rf"""
+  nd_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs}),
+  nd_pos AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM nd_words WHERE len(ws) >= {k}),
+  nd_grams AS (SELECT doc_id, w || ' ' || {leads} AS g FROM nd_pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  nd_sets AS (SELECT DISTINCT doc_id, g FROM nd_grams WHERE g IS NOT NULL UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM nd_words WHERE len(ws) BETWEEN 1 AND {k - 1}),
+  nd_sizes AS (SELECT doc_id, count(*) AS n FROM nd_sets GROUP BY doc_id),
+  nd_shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM nd_sets a JOIN nd_sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  nd_links AS (SELECT a, b FROM nd_shared JOIN nd_sizes x ON x.doc_id = a JOIN nd_sizes y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
+  nd_both AS (SELECT a, b FROM nd_links UNION ALL SELECT b, a FROM nd_links),
+  nd_reach(d, r) AS (SELECT a, b FROM nd_both UNION SELECT q.d, e.b FROM nd_reach q JOIN nd_both e ON e.a = q.r),
+  comp AS (SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(r) FROM nd_reach WHERE nd_reach.d = d.doc_id), d.doc_id)) AS component_id FROM {docs} d LEFT JOIN nd_sizes s ON s.doc_id = d.doc_id)"""
+
+
+OP3_SQL = "WITH RECURSIVE " + near_duplicate_sql(3, 90, 100).replace("\\\\", "\\") + " SELECT doc_id, n_shingles, component_id FROM comp"
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among documents; the copy with the largest doc_id stays."""
     return _exact.exact_groups(table(spark, sf_dir, "documents")).drop("rid")
@@ -40,8 +68,56 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to a store and read back from it."""
+    path = new_path(spark, "tokens")
+    _store.write_store(table(spark, sf_dir, "documents"), path, _store.tokenizer_path())
+    return _store.read_store(spark, path, _store.crc32, "bigint").select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
+
+
+def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts with thresholds per language and source."""
+    out = _rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP10_SQL = r"""
+WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM words),
+grams AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS g FROM pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE g IS NOT NULL) WHERE n >= 2),
+covered AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(c.n, 0) AS n_repeat_words
+  FROM words LEFT JOIN covered c USING (doc_id)),
+rows_ AS (SELECT doc_id, lang, source, n_words, word_chars, n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counts),
+metrics AS (
+  SELECT doc_id, lang, source, base_failed, 'symbol_ppm' AS metric, n_symbols * 1000000 // greatest(word_chars, 1) AS v FROM rows_
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'dup_line_ppm', n_dup_lines * 1000000 // greatest(n_lines, 1) FROM rows_
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'repeat_ppm', n_repeat_words * 1000000 // greatest(n_words, 1) FROM rows_
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'word_len', word_chars * 1000 // greatest(n_words, 1) FROM rows_),
+bucketed AS (SELECT *, CASE WHEN v <= 0 THEN 0 ELSE 1 + floor(round(ln(v::DOUBLE) / 0.019802627296179712, 9))::INT END AS b FROM metrics WHERE NOT base_failed),
+sketch AS (
+  SELECT 0 AS lvl, lang, source, metric, b, count(*) AS n FROM bucketed GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, b, count(*) FROM bucketed GROUP BY lang, metric, b
+  UNION ALL SELECT 2, NULL, NULL, metric, b, count(*) FROM bucketed GROUP BY metric, b),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY b) AS u, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS size FROM sketch),
+quart AS (SELECT lvl, lang, source, metric, max(size) AS size, min(b) FILTER (u * 4 >= size) AS b1, min(b) FILTER (u * 4 >= size * 3) AS b3 FROM upto GROUP BY lvl, lang, source, metric),
+edges AS (SELECT lvl, lang, source, metric, size, CASE WHEN b1 = 0 THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, b1 - 1) END AS q1, CASE WHEN b3 = 0 THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, b3 - 1) END AS q3 FROM quart),
+picked AS (
+  SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= 100 THEN o.q1 WHEN l.size >= 100 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.size >= 100 THEN o.q3 WHEN l.size >= 100 THEN l.q3 ELSE a.q3 END AS q3
+  FROM (SELECT * FROM edges WHERE lvl = 0) o JOIN (SELECT * FROM edges WHERE lvl = 1) l ON l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN (SELECT * FROM edges WHERE lvl = 2) a ON a.metric = o.metric),
+fences AS (SELECT lang, source, metric, q1 - reach AS lo, q3 + reach AS hi FROM (SELECT *, greatest(6.0 * (q3 - q1), CASE metric WHEN 'symbol_ppm' THEN 50000.0 WHEN 'dup_line_ppm' THEN 200000.0 WHEN 'repeat_ppm' THEN 50000.0 ELSE 1500.0 END) AS reach FROM picked)),
+bad AS (SELECT DISTINCT m.doc_id FROM metrics m JOIN fences f ON f.metric = m.metric AND f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source WHERE m.v > f.hi OR (m.metric = 'word_len' AND m.v < f.lo))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM rows_
+"""
+
 QUERIES = {
     "op1_poisson_mix": op1_poisson_mix,
+    "op3_trie_join": op3_trie_join,
     "op5_block_naming": op5_block_naming,
+    "op6_token_store": op6_token_store,
+    "op10_adaptive_rules": op10_adaptive_rules,
 }
-ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op5_block_naming": OP5_SQL}
+ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op3_trie_join": OP3_SQL, "op5_block_naming": OP5_SQL, "op10_adaptive_rules": OP10_SQL}
