@@ -36,7 +36,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """The same rows, read from Parquet files in the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
