@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import html_main_text as _html
+from . import language_id as _lid
 from . import mixing as _mixing
 from . import ngram_join as _ngrams
+from . import piece_sampling as _pieces
 from . import quality_rules as _rules
 from . import token_store as _store
+from . import toxicity as _tox
 from .common import new_path, table
 
 
@@ -33,6 +37,11 @@ FROM counts, range(0, n) AS t(c)
 """
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled subword segmentations of all documents, decoded again."""
+    return _pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.9 or more of their 3-word shingles."""
     found = _ngrams.similarity_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
@@ -75,6 +84,26 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store.read_store(spark, path, _store.crc32, "bigint").select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
 
 
+def op7_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a network trained on those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    langs, model = _lid.fit(docs)
+    return _lid.predict(docs, langs, model).select("doc_id", _lid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a network trained on labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = _tox.fit(docs, table(spark, sf_dir, "labels"))
+    out = _tox.score(docs, model)
+    return out.select("doc_id", _tox.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return _html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdicts with thresholds per language and source."""
     out = _rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -115,9 +144,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES = {
     "op1_poisson_mix": op1_poisson_mix,
+    "op2_piece_sampling": op2_piece_sampling,
     "op3_trie_join": op3_trie_join,
     "op5_block_naming": op5_block_naming,
     "op6_token_store": op6_token_store,
+    "op7_byte_language": op7_byte_language,
+    "op8_toxicity": op8_toxicity,
+    "op9_page_text": op9_page_text,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
 ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op3_trie_join": OP3_SQL, "op5_block_naming": OP5_SQL, "op10_adaptive_rules": OP10_SQL}
