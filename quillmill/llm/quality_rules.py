@@ -26,7 +26,7 @@ GAMMA = 1.02
 MIN_GROUP = 100
 FENCE = 6.0
 #: Least distance of a fence from its quartile, by metric (parts per million; for word_len, thousandths of a character).
-FLOORS = {"symbol_ppm": 50_000, "dup_line_ppm": 200_000, "repeat_ppm": 50_000, "word_len": 1_500}
+FLOORS = {"symbol_ppm": 50_000, "dup_line_ppm": 400_000, "repeat_ppm": 150_000, "word_len": 1_500}
 
 
 def _let(value: Column, body) -> Column:

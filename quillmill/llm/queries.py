@@ -137,7 +137,7 @@ edges AS (SELECT lvl, lang, source, metric, size, CASE WHEN b1 = 0 THEN 0.0::DOU
 picked AS (
   SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= 100 THEN o.q1 WHEN l.size >= 100 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.size >= 100 THEN o.q3 WHEN l.size >= 100 THEN l.q3 ELSE a.q3 END AS q3
   FROM (SELECT * FROM edges WHERE lvl = 0) o JOIN (SELECT * FROM edges WHERE lvl = 1) l ON l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN (SELECT * FROM edges WHERE lvl = 2) a ON a.metric = o.metric),
-fences AS (SELECT lang, source, metric, q1 - reach AS lo, q3 + reach AS hi FROM (SELECT *, greatest(6.0 * (q3 - q1), CASE metric WHEN 'symbol_ppm' THEN 50000.0 WHEN 'dup_line_ppm' THEN 200000.0 WHEN 'repeat_ppm' THEN 50000.0 ELSE 1500.0 END) AS reach FROM picked)),
+fences AS (SELECT lang, source, metric, q1 - reach AS lo, q3 + reach AS hi FROM (SELECT *, greatest(6.0 * (q3 - q1), CASE metric WHEN 'symbol_ppm' THEN 50000.0 WHEN 'dup_line_ppm' THEN 400000.0 WHEN 'repeat_ppm' THEN 150000.0 ELSE 1500.0 END) AS reach FROM picked)),
 bad AS (SELECT DISTINCT m.doc_id FROM metrics m JOIN fences f ON f.metric = m.metric AND f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source WHERE m.v > f.hi OR (m.metric = 'word_len' AND m.v < f.lo))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM rows_
 """
