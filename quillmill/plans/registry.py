@@ -34,7 +34,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import scalars  # noqa: F401
+    from . import metrics, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
