@@ -307,10 +307,8 @@ def _join_tasks(num: int, den: int):
     return run
 
 
-def _run_tasks(tasks: DataFrame, numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _run_tasks(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links found in tasks (t1, t2, t3, rid, comp)."""
-    wanted = tasks.select("rid").distinct()
-    sets = numbered.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_wanted_sets(k), "rid bigint, items binary")
     return tasks.join(sets, "rid").groupBy("t1", "t2", "t3").applyInPandas(_join_tasks(num, den), "a bigint, b bigint")
 
 
@@ -337,7 +335,10 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     each = chunks.groupBy("head").agg(F.max("chunk").alias("last")).join(alone, "head")
     with_head = each.select("head", "rid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("chunk"))
     tasks = chunks.select("head", "rid", "chunk").union(with_head).select(F.col("head").alias("t1"), F.col("chunk").alias("t2"), F.lit(0).cast("long").alias("t3"), "rid", F.col("rid").alias("comp"))
-    links = saved(_run_tasks(tasks, numbered, k, num, den), "links")
+    # the texts are shuffled once, at every size alike; the sets that met others are kept for both rounds
+    wanted = tasks.select("rid").distinct().hint("merge")
+    sets = saved(numbered.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(_wanted_sets(k), "rid bigint, items binary"), "items")
+    links = saved(_run_tasks(tasks, sets, num, den), "links")
     labels = saved(components(links), "components")
 
     # groups of several chunks that are not one component yet
@@ -359,7 +360,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         first = may.join(blocks, ["head", "block"]).select("head", F.col("block").alias("t2"), F.col("b2").alias("t3"), "rid", "comp")
         second = may.where("block < b2").join(blocks.withColumnRenamed("block", "b2"), ["head", "b2"]).select("head", F.col("block").alias("t2"), F.col("b2").alias("t3"), "rid", "comp")
         rest = first.union(second).select(F.col("head").alias("t1"), "t2", "t3", "rid", "comp")
-        more = saved(_run_tasks(saved(rest, "tasks"), numbered, k, num, den), "links")
+        more = saved(_run_tasks(saved(rest, "tasks"), sets, num, den), "links")
         if more.limit(1).count():
             labels = saved(components(links.union(more)), "components")
     named = folded.join(labels.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("rid", "doc_id", "n", F.coalesce("c", "rep").alias("component"))
