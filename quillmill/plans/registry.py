@@ -30,11 +30,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    """Clusters of near-duplicate documents."""
+    from .corpus import near_clusters
+
+    return near_clusters(spark, sf_dir)
 
 
 def _load() -> None:
-    from . import metrics, scalars  # noqa: F401
+    from . import corpus, metrics, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
