@@ -18,16 +18,16 @@ columns are ignored. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 SELECT_STEP = 256
 #: Byte offsets of the sections of an Elias-Fano code: six little-endian 64-bit numbers come first.
 _HEAD = 6
@@ -92,14 +92,15 @@ class EliasFano:
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizer file of the tokenizers library.
+    """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
-    A text is cut before spaces that follow a character other than white space: no pre-token of a byte-level
-    tokenizer spans such a place, so the pieces encode apart. Ids of short pieces are kept in a bounded table, and the library
-    encodes what isn't there yet.
+    A text is cut before its spaces. Such a cut never falls inside a pre-token, unless the space stands between two white-space characters or
+    at the end of the text after one: those texts go to the library whole. Elsewhere the pieces encode apart; the ids of a piece are kept
+    in a table, and the library encodes the pieces that aren't there, many in one call: a token that
+    begins with a space begins a piece. When the table is full, what was met once goes.
     """
 
-    CACHE, SHORT = 300_000, 48
+    MAX_PIECES, MAX_IDS, MAX_LENGTH = 800_000, 8_000_000, 64
 
     def __init__(self, path: str):
         import os
@@ -110,24 +111,93 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(r"(?<=\S)(?= )")
-        self.known: dict[str, np.ndarray] = {}
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        known = self.known
-        pieces = [self.cut.split(t) if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in known})
-        extra: dict[str, np.ndarray] = {}
-        for p, ids in zip(new, self._library(new), strict=True):
-            (known if len(p) <= self.SHORT else extra)[p] = ids
-        get = (lambda p: known[p] if p in known else extra[p]) if extra else known.__getitem__
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([get(p) for p in ps]) if ps else none for ps in pieces]
+        self.odd = re.compile(r"\s (?=\s|\Z)")
+        n = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
+        self.pieces: dict[str, int] = {}  # by the text after the space
+        self._empty()
+
+    def _empty(self) -> None:
+        """No entries: of entry i the ids are ids[first[i] : first[i] + size[i]], met met[i] times. Arrays grow by doubling."""
+        self.entries, self.held = 0, 0
+        self.first, self.size, self.met = (np.zeros(1 << 12, k) for k in (np.int64, np.int32, np.int32))
+        self.ids = np.zeros(1 << 14, np.uint16 if len(self.opens) <= 1 << 16 else np.uint32)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, sizes: np.ndarray, ids: np.ndarray) -> int:
+        """Appends entries and returns the index of the first."""
+        at, end = self.entries, self.held
+        self.entries, self.held = at + len(sizes), end + len(ids)
+        while len(self.first) < self.entries:
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
+        while len(self.ids) < self.held:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.first[at : self.entries] = end + np.cumsum(sizes) - sizes
+        self.size[at : self.entries] = sizes
+        self.ids[end : self.held] = ids
+        self.met[at : self.entries] = 0
+        return at
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w and w.isprintable()]  # no white space in them
+        other = [w for w in new if not w or not w.isprintable()] if len(plain) < len(new) else []
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            ids = self._whole([" " + " ".join(some)])[0]
+            begins = np.flatnonzero(self.opens[ids])
+            at = self._store(np.diff(np.append(begins, len(ids))), ids)
+            self.pieces.update(zip(some, range(at, at + len(some)), strict=True))
+        if other:
+            coded = self._whole([" " + w for w in other])
+            at = self._store(np.array([len(x) for x in coded]), np.concatenate(coded))
+            self.pieces.update(zip(other, range(at, at + len(other)), strict=True))
+
+    def _tidy(self) -> None:
+        """Keeps the short pieces met twice or more, up to half the room."""
+        if self.entries <= self.MAX_PIECES and self.held <= self.MAX_IDS:
+            return
+        often = [(w, i) for w, i in self.pieces.items() if self.met[i] > 1 and len(w) <= self.MAX_LENGTH][: self.MAX_PIECES // 2]
+        ids = [self.ids[self.first[i] : self.first[i] + self.size[i]].copy() for _, i in often]
+        self._empty()
+        if often:
+            self._store(np.array([len(x) for x in ids]), np.concatenate(ids))
+        self.pieces = {w: k for k, (w, _) in enumerate(often)}
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, each with end_id behind it, and the number of ids of each."""
+        self._tidy()
+        cut = [[t] if self.odd.search(t) else t.split(" ") for t in texts]
+        # what has no space before it has no entry of its own: beginnings, and whole odd texts
+        apart = self._whole([ws[0] for ws in cut])
+        for ws in cut:
+            del ws[0]
+        self._learn(list(set().union(*cut) - self.pieces.keys()))
+        own = self._store(np.array([*(len(x) for x in apart), 1]), np.concatenate([*apart, np.array([end_id], np.uint32)]))
+        end = own + len(texts)
+        order: list[int] = []
+        for i, ws in enumerate(cut):
+            order.append(own + i)
+            order.extend(map(self.pieces.__getitem__, ws))
+            order.append(end)
+        at = np.array(order, np.int64)
+        self.met[: self.entries] += np.bincount(at, minlength=self.entries).astype(np.int32)
+        sizes = self.size[at].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        closing = ends[np.flatnonzero(at == end)]
+        return ids, np.diff(closing, prepend=0)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -137,48 +207,67 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _write_blocks(path: str, end_id: int, block_ids: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        coder = Encoder(path)
+        coder = encoder(path)
         docs: list = []
-        held: list[np.ndarray] = []
-        size = 0
+        ids: list[np.ndarray] = []
+        sizes: list[int] = []
+        held = 0
 
-        def flush() -> pd.DataFrame:
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        def flush() -> pa.RecordBatch:
             nulls = sum(d is None for d in docs)
-            ids = np.concatenate(held).astype("<u4")
-            return pd.DataFrame(
-                [(part, block, len(docs), len(ids), nulls, ids.tobytes(), EliasFano.encode(bounds), EliasFano.encode(np.array(docs[nulls:], np.int64)))],
-                columns=["part", "block", "n_docs", "n_ids", "n_null", "ids", "bounds", "doc_ids"],
-            )
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            row = (part, block, len(docs), int(bounds[-1]), nulls, np.concatenate(ids).astype("<u4").tobytes(), EliasFano.encode(bounds), EliasFano.encode(np.array(docs[nulls:], np.int64)))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "block", "n_docs", "n_ids", "n_null", "ids", "bounds", "doc_ids"])
 
+        gc.disable()  # lists of millions of strings and numbers, no cycles among them
         for batch in batches:
-            ids_of = batch["doc_id"].tolist()
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), 256):
-                for d, ids in zip(ids_of[at : at + 256], coder.encode(texts[at : at + 256]), strict=True):
-                    docs.append(None if d is None or d != d else int(d))
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    size += len(ids) + 1
-                    if size >= block_ids:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                got, n = coder.encode(some.column(1).to_pylist(), end_id)
+                begin = 0
+                for d, end in zip(some.column(0).to_pylist(), np.cumsum(n).tolist(), strict=True):
+                    docs.append(d)
+                    ids.append(got[begin:end])
+                    sizes.append(end - begin)
+                    held += end - begin
+                    begin = end
+                    if held >= block_ids:
                         yield flush()
-                        docs, held, size, block = [], [], 0, block + 1
+                        docs, ids, sizes, held, block = [], [], [], 0, block + 1
         if docs:
             yield flush()
+        gc.enable()
 
     return run
 
 
+def _position(value, cuts: list[int]):
+    """How many of the ordered cuts lie below the value, 0 for null: first by every step-th cut, then by those between."""
+    if not cuts:
+        return F.lit(0)
+    step = max(2, int(len(cuts) ** 0.5))
+    numbers = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    coarse = below(numbers(cuts[step - 1 :: step]))
+    fine = F.array(*[numbers(cuts[i : i + step - 1]) for i in range(0, len(cuts) + 1, step)])
+    return F.coalesce(coarse * step + F.greatest(F.lit(0), below(F.get(fine, coarse))), F.lit(0))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encodes every text and writes the store to a folder, in ascending order of ids."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    as_object = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # strings keep nulls and all 64 bits in pandas
-    as_object.mapInPandas(_write_blocks(tokenizer, end_id, block_ids), STORE).write.option("compression", "zstd").parquet(path)
+    # bounds of ranges from the ids alone: a range exchange would read the texts twice to sample them
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
+    # one number a partition; searched by halves, nulls first
+    part = _position(F.col("doc_id"), sorted(set(cuts)))
+    placed = rows.repartitionById(len(cuts) + 1, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed.mapInArrow(_write_blocks(tokenizer, end_id, block_ids), STORE).write.option("compression", "zstd").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, fold=None, kind: str | None = None) -> DataFrame:

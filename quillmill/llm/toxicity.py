@@ -242,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_label / sizes[1]))).otherwise(F.lit(min(1.0, per_label / sizes[0])))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("tox|"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    found = sorted((r["id"], r["text"], r["y"]) for r in texts.join(marks.where(u < share), "id").select("id", "text", "y").collect())
+    chosen = F.broadcast(marks.where(u < share))  # about 2 * per_label rows at any size of the tables
+    found = sorted((r["id"], r["text"], r["y"]) for r in texts.join(chosen, "id").select("id", "text", "y").collect())
     if len({y for *_, y in found}) < 2:
         return None
     return train([t for _, t, _ in found], [y for *_, y in found])
