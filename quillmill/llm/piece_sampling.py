@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 ALPHA = 2.0
 RANK_SHIFT = 30.0
 SEED = "pieces-1"
-#: Nodes kept in a worker's table before it starts anew, and the longest unit that is kept between batches.
-MAX_NODES = 2_000_000
-LONG_UNIT = 64
+#: Nodes kept in a worker's table before it starts anew.
+MAX_NODES = 1_000_000
+#: Nodes filtered at once, and bits of a share.
+SLAB_NODES = 200_000
+SHARE_BITS = 30
 #: Units are cut into stretches of so many characters at most, so that a lattice stays small.
 STRETCH = 4096
 MARK = "▁"
@@ -78,11 +80,71 @@ class Vocabulary:
         rank = np.zeros(n)
         rank[ranked] = np.arange(len(ranked))
         self.weight = (rank + RANK_SHIFT) ** -ALPHA
+        self.weight[0] = 0.0  # no piece: the unknown one is none
         self.byte_weight = float((len(ranked) + RANK_SHIFT) ** -ALPHA)
+        self._index()
+
+    def _index(self) -> None:
+        """The prefix tree of the pieces as sorted numbers: state and character give the next state."""
+        states: dict[str, int] = {"": 0}
+        steps: dict[int, int] = {}
+        for piece in self.id_of:
+            at = 0
+            for j in range(len(piece)):
+                to = states.setdefault(piece[: j + 1], len(states))
+                steps[(at << 21) | ord(piece[j])] = to
+                at = to
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.piece_at = np.zeros(len(states), np.int32)
+        for piece, i in self.id_of.items():
+            self.piece_at[states[piece]] = i
+
+    def edges(self, chars: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Pieces that end behind each character, the longest first (0: none); stop: where a character's unit ends.
+
+        A character that no piece is has an edge of its bytes: its code point as -c - 1.
+        """
+        out = np.zeros((len(chars), self.longest), np.int32)
+        at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for done in range(self.longest):
+            inside = at + done < stop[at]
+            at, state = at[inside], state[inside]
+            key = (state << 21) | chars[at + done]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[k] == key
+            at, state = at[found], self.next[k[found]]
+            if not len(at):
+                break
+            out[at + done, self.longest - 1 - done] = self.piece_at[state]
+        bare = out[:, -1] == 0
+        out[bare, -1] = -chars[bare] - 1
+        return out
+
+    def spelled(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with code points (as -c - 1) spelled in bytes, and how many stand for each."""
+        sizes = np.ones(len(pieces), np.int64)
+        odd = np.flatnonzero(pieces < 0)
+        if not len(odd):
+            return pieces, sizes
+        points, which = np.unique(-pieces[odd].astype(np.int64) - 1, return_inverse=True)
+        coded = [chr(c).encode("utf-8", "surrogatepass") for c in points.tolist()]
+        table = np.array([list(c.ljust(4, b"\0")) for c in coded])
+        size = np.array([len(c) for c in coded])[which]
+        sizes[odd] = size
+        out = np.repeat(pieces, sizes)
+        first = (np.cumsum(sizes) - sizes)[odd]
+        for j in range(4):
+            more = size > j
+            out[first[more] + j] = self.byte_ids[table[which[more], j]]
+        return out, sizes
 
 
 class Lattices:
-    """Sampling tables of units. Node k's edges are those whose cumulative shares lie in [k, k + 1)."""
+    """Sampling tables of units. Node k's edges are those whose cumulative shares lie in [k, k + 1).
+
+    Shares are multiples of 2 ** -SHARE_BITS, so that they are exact beside any k up to MAX_NODES and don't depend on it.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -90,75 +152,75 @@ class Lattices:
 
     def clear(self) -> None:
         self.last: dict[str, int] = {}  # the end node of a unit
-        self.nodes = 0
-        self._share: list[np.ndarray] = []
-        self._piece: list[np.ndarray] = []
-        self._from: list[np.ndarray] = []
-        self.share, self.piece, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def add(self, unit: str) -> None:
-        """Forward filtering of one unit."""
-        v, n, base = self.v, len(unit), self.nodes
-        total = [1.0] + [0.0] * n  # scaled sums of weights; scale[j] is what was divided out up to node j
-        log_scale = [0.0] * (n + 1)
-        shares, pieces, origin = [], [], []
-        for j in range(1, n + 1):
-            weights, ids, starts = [], [], []
-            for i in range(max(0, j - v.longest), j):
-                k = v.id_of.get(unit[i:j])
-                if k is not None:
-                    weights.append(total[i] * np.exp(log_scale[i] - log_scale[j - 1]) * v.weight[k] if log_scale[i] != log_scale[j - 1] else total[i] * v.weight[k])
-                    ids.append(k)
-                    starts.append(i)
-            if starts[-1:] != [j - 1]:
-                c = unit[j - 1]
-                size = len(c.encode("utf-8", "surrogatepass"))
-                weights.append(total[j - 1] * v.byte_weight**size)
-                ids.append(-ord(c) - 1)  # to be spelled in bytes
-                starts.append(j - 1)
-            s = sum(weights)
-            log_scale[j] = log_scale[j - 1]
-            total[j] = s
-            if s < 1e-100:
-                log_scale[j] += float(np.log(s))
-                total[j] = 1.0
-            acc = 0.0
-            for w, k, i in zip(weights, ids, starts, strict=True):
-                acc += w / s
-                shares.append(base + j - 1 + min(acc, 1.0))
-                pieces.append(k)
-                origin.append(base + i - 1 if i else -1)
-            shares[-1] = base + j  # the last share ends the node's range exactly
-        self.last[unit] = base + n - 1
-        self.nodes += n
-        self._share.append(np.array(shares))
-        self._piece.append(np.array(pieces, np.int32))
-        self._from.append(np.array(origin, np.int64))
-
-    def settle(self) -> None:
-        if self._share:
-            self.share = np.concatenate([self.share, *self._share])
-            self.piece = np.concatenate([self.piece, *self._piece])
-            self.back = np.concatenate([self.back, *self._from])
-            self._share, self._piece, self._from = [], [], []
+        self.nodes, self.held = 0, 0
+        self.share, self.piece, self.back = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def add(self, units: list[str]) -> None:
+        """Forward filtering of many units at once, a character of each at a time."""
+        v, base, width = self.v, self.nodes, self.v.longest
+        n = np.array([len(u) for u in units])
+        first = np.cumsum(n) - n
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        edges = v.edges(chars, np.repeat(first + n, n))
+        weights = v.weight[np.maximum(edges, 0)]
+        bare = edges[:, -1] < 0
+        c = chars[bare]
+        weights[bare, -1] = v.byte_weight ** (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
+        # before node 0 of a unit stand `width` zeros: no edge comes from there
+        node0 = first + (width + 1) * np.arange(len(units)) + width
+        total = np.zeros(len(chars) + (width + 1) * len(units))
+        total[node0] = 1.0
+        shares = weights
+        order = np.argsort(-n, kind="stable")
+        longer = np.searchsorted(-n[order], -np.arange(1, int(n.max()) + 1), "right")
+        before = np.arange(-width, 0)
+        for j, k in enumerate(longer.tolist(), 1):
+            some = order[:k]
+            row, at = first[some] + j - 1, node0[some] + j
+            window = at[:, None] + before
+            sums = np.cumsum(total[window] * weights[row], axis=1)
+            s = sums[:, -1]
+            total[at] = s
+            shares[row] = sums / s[:, None]
+            low = s < 1e-100
+            if low.any():
+                total[window[low]] /= s[low][:, None]
+                total[at[low]] = 1.0
+        grain = float(1 << SHARE_BITS)
+        node, column = np.nonzero(edges)
+        share = np.floor(shares[node, column] * grain) / grain
+        share[column == width - 1] = 1.0
+        length = width - column
+        start = node - length + 1 == np.repeat(first, n)[node]
+        end = self.held + len(node)
+        while len(self.share) < end:
+            self.share, self.piece, self.back = (np.concatenate([x, np.zeros_like(x)]) for x in (self.share, self.piece, self.back))
+        self.share[self.held : end] = base + node + share
+        self.piece[self.held : end] = edges[node, column]
+        self.back[self.held : end] = np.where(start, -1, base + node - length)
+        self.held, self.nodes = end, base + len(chars)
+        self.last.update(zip(units, (base + first + n - 1).tolist(), strict=True))
 
     def sample(self, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of many units at once: pieces, in order, and their number for each unit."""
         node, who, step = ends.copy(), np.arange(len(ends)), 0
+        share = self.share[: self.held]
         owners, found = [], []
+        count = np.zeros(len(ends), np.int64)
         while len(node):
-            u = (_mix(seeds[who] + _U((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> _U(11)).astype(np.float64) / float(1 << 53)
-            edge = np.searchsorted(self.share, node + u, "right")
-            edge = np.minimum(edge, len(self.share) - 1)
+            u = (_mix(seeds[who] + _U((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> _U(64 - SHARE_BITS)).astype(np.float64) / float(1 << SHARE_BITS)
+            edge = np.searchsorted(share, node + u, "right")
             owners.append(who)
             found.append(self.piece[edge])
-            node = self.back[edge]
+            count[who] += 1
+            node = self.back[edge].astype(np.int64)
             on = node >= 0
             node, who, step = node[on], who[on], step + 1
-        owner, piece = np.concatenate(owners), np.concatenate(found)
-        steps = np.repeat(np.arange(len(owners)), [len(o) for o in owners])
-        order = np.lexsort((-steps, owner))
-        return piece[order], np.bincount(owner, minlength=len(ends))
+        end = np.cumsum(count)
+        out = np.empty(int(end[-1]), np.int32)
+        for back, (owner, piece) in enumerate(zip(owners, found, strict=True), 1):
+            out[end[owner] - back] = piece
+        return out, count
 
 
 class Coder:
@@ -191,30 +253,28 @@ class Coder:
             where.append(units)
             # a zero character is a literal mark where the text has one and no zero character there
             literal.append(self._literal(t, units) if t and MARK in t else np.zeros(0, bool))
-        for u in sorted({u for us in where for u in us if u not in tables.last}):
-            tables.add(u)
-        tables.settle()
+        new = list(set().union(*where) - tables.last.keys())
+        while new:  # in slabs of bounded size
+            size = np.cumsum([len(u) + self.v.longest for u in new])
+            k = max(1, int(np.searchsorted(size, SLAB_NODES)))
+            tables.add(new[:k])
+            new = new[k:]
         n = [len(us) for us in where]
         if not sum(n):
             return [np.zeros(0, np.int32) for _ in texts]
-        ends = np.array([tables.last[u] for us in where for u in us], np.int64)
+        ends = np.fromiter((tables.last[u] for us in where for u in us), np.int64, sum(n))
         row = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
-        key = _mix(np.array(seeds, _U)[row] + _mix(place.astype(_U) + _U(1)))
-        pieces, count = tables.sample(ends, key)
-        spelled = {i: b for i, b in self._spell(pieces)} if (pieces < 0).any() else {}
+        pieces, count = tables.sample(ends, _mix(np.array(seeds, _U)[row] + _mix(place.astype(_U) + _U(1))))
         unit_end = np.cumsum(count)
-        out, at = [], 0
-        for i, k in enumerate(n):
-            lo = unit_end[at - 1] if at else 0
-            hi = unit_end[at + k - 1] if k else lo
-            ids = pieces[lo:hi]
-            if spelled and (ids < 0).any() or literal[i].any():
-                marks = set((unit_end[at + np.flatnonzero(literal[i])] - 1 - lo).tolist()) if literal[i].any() else set()
-                ids = np.concatenate([self._bytes(MARK) if j in marks else (spelled[lo + j] if x < 0 else np.array([x], np.int32)) for j, x in enumerate(ids.tolist())])
-            out.append(ids.astype(np.int32))
+        at = 0
+        for k, marks in zip(n, literal, strict=True):
+            if marks.any():
+                pieces[unit_end[at + np.flatnonzero(marks)] - 1] = -ord(MARK) - 1
             at += k
-        return out
+        ids, sizes = self.v.spelled(pieces)
+        stop = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], unit_end])[np.concatenate([[0], np.cumsum(n)])]]
+        return [ids[i:j].astype(np.int32) for i, j in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
 
     def _literal(self, text: str, units: list[str]) -> np.ndarray:
         """Which units stand for a literal mark: those between the parts that the marks cut the text into."""
@@ -227,13 +287,6 @@ class Coder:
                 flags.append([False] * sum(-(-len(u) // STRETCH) for u in own))
         return np.array([x for f in flags for x in f], bool)
 
-    def _bytes(self, c: str) -> np.ndarray:
-        return self.v.byte_ids[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]
-
-    def _spell(self, pieces: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for i in np.flatnonzero(pieces < 0).tolist():
-            yield i, self._bytes(chr(-int(pieces[i]) - 1))
-
     def decode(self, ids: np.ndarray) -> str:
         raw = self.v.raw
         return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
