@@ -10,6 +10,7 @@ from . import html_main_text as _html
 from . import language_id as _lid
 from . import mixing as _mixing
 from . import ngram_join as _ngrams
+from . import passage_dedup as _passages
 from . import piece_sampling as _pieces
 from . import quality_rules as _rules
 from . import token_store as _store
@@ -67,6 +68,11 @@ def near_duplicate_sql(k: int, num: int, den: int, docs: str = "documents") -> s
 OP3_SQL = "WITH RECURSIVE " + near_duplicate_sql(3, 90, 100).replace("\\\\", "\\") + " SELECT doc_id, n_shingles, component_id FROM comp"
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages in all documents, and those that go: the first copy stays."""
+    return _passages.per_document(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among documents; the copy with the largest doc_id stays."""
     return _exact.exact_groups(table(spark, sf_dir, "documents")).drop("rid")
@@ -146,6 +152,7 @@ QUERIES = {
     "op1_poisson_mix": op1_poisson_mix,
     "op2_piece_sampling": op2_piece_sampling,
     "op3_trie_join": op3_trie_join,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_block_naming": op5_block_naming,
     "op6_token_store": op6_token_store,
     "op7_byte_language": op7_byte_language,
