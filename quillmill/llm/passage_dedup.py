@@ -1,4 +1,4 @@
-"""Substring dedup: paragraph MinHash banding with exact verification and connected components.
+"""Substring dedup: paragraph MinHash banding with exact verification and connected components, extended word by word.
 
 A text is cut into paragraphs at line ends and, inside lines, before words whose hash is the least among the
 REACH words on either side: a passage is cut alike wherever it stands, whatever surrounds it. A paragraph's set is that
@@ -9,8 +9,12 @@ of its five-word shingles; those with fewer words are never repeats by themselve
    with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998 as set.
 3. Representatives with a key in common are joined in blocks of at most BLOCK, each pair of blocks in a task of
    its own; in a task a prefix tree finds the links by exact Jaccard similarity and emits a spanning forest, not all pairs.
-4. Components of links are repeats of one passage. Its first one, by document id, stays. Others go where repeats that follow one another
-   make up MIN_WORDS words or more, so that a stock phrase stays.
+4. Components of links are repeats of one passage. So are equal seeds: in each WINNOW successive runs of SEED words the one of the least hash,
+   so that any two texts that share SEED + WINNOW - 1 words in a row share a seed there.
+5. Repeats are only anchors. Each one is compared with the first of its passage, by document id, word by word to both sides, over insertions, deletions and
+   changes of up to EDIT words, as long as the words aligned are num / den of all words of the two spans. Anchors of the same two documents
+   that lie on one diagonal share a window of words, which goes WINDOW words beyond them.
+6. Spans of a document that repeat the same first document and touch are merged, and go where they make up MIN_WORDS words or more, so that a stock phrase stays.
 
 Defined results: null and empty texts have no paragraphs; rows are told apart by position, so equal ids are separate rows; a null id comes
 last; an empty table gives an empty result; other columns are kept by `remove_repeats`. The input must be repeatable.
@@ -34,6 +38,9 @@ SHINGLE = 5
 ROWS, BANDS = 2, 6
 MIN_WORDS = 20
 BLOCK = 2000
+SEED, WINNOW = 10, 16
+WINDOW = 64
+EDIT = 3
 
 _U = np.uint64
 _SALTS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -87,7 +94,7 @@ def _bands(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return key
 
 
-_PARAGRAPHS = "rid bigint, doc_id bigint, idx int, n_words int, digest bigint, bands array<bigint>"
+_PARAGRAPHS = "rid bigint, doc_id bigint, idx int, n_words int, digest bigint, bands array<bigint>, at int"
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +102,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
             rows, keys = [], []
             for i, text in enumerate(some.column(2)):
                 _, size, sets, owner = cutter.cut(text.as_py() or "")
@@ -104,14 +111,137 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 idx, begin = np.unique(owner, return_index=True)
                 digest = np.add.reduceat(mix64(sets ^ _U(0x5851F42D4C957F2D)), begin)
                 rows.append(np.full(len(idx), i))
-                for c, v in zip(cols, (idx, size[idx], mix64(digest + np.diff(np.append(begin, len(sets))).astype(_U)).view(np.int64)), strict=False):
+                for c, v in zip(cols, (idx, size[idx], mix64(digest + np.diff(np.append(begin, len(sets))).astype(_U)).view(np.int64), (np.cumsum(size) - size)[idx]), strict=True):
                     c.append(v)
                 keys.append(_bands(sets, begin).view(np.int64))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                idx, size, digest = (np.concatenate(c) for c in cols[:3])
+                idx, size, digest, first = (np.concatenate(c) for c in cols)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(idx) + 1), BANDS), pa.int32()), pa.array(np.concatenate(keys).ravel()))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(idx, pa.int32()), pa.array(size, pa.int32()), pa.array(digest), bands], names=["rid", "doc_id", "idx", "n_words", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(idx, pa.int32()), pa.array(size, pa.int32()), pa.array(digest), bands, pa.array(first, pa.int32())], names=["rid", "doc_id", "idx", "n_words", "digest", "bands", "at"])
+
+
+def seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the seeds of a text of word hashes w."""
+    n = len(w) - SEED + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    acc = np.full(n, _U(SEED))
+    for j in range(SEED):
+        acc = mix64(acc * _U(0xA24BAED4963EE407) + w[j : n + j])
+    if n <= WINNOW:
+        at = np.array([acc.argmin()])
+    else:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(acc, WINNOW).argmin(1) + np.arange(n - WINNOW + 1))
+    return at, acc[at]
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler(SHINGLE)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            found = [seeds(shingler.word_hashes(text.as_py() or "")) for text in some.column(2)]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+            yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(np.concatenate([at for at, _ in found]), pa.int32()), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["rid", "doc_id", "at", "passage"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, top, anchors of the two -> a row for each chain of anchors on one diagonal, with the windows around it."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            chains: list[list[dict]] = []
+            for x in sorted(row["anchors"], key=lambda x: (x["at"], x["top_at"], x["n"])):
+                last = chains[-1][-1] if chains else None
+                if last and x["at"] - last["at"] <= WINDOW and abs((x["at"] - x["top_at"]) - (last["at"] - last["top_at"])) <= WINDOW // 4:
+                    chains[-1].append(x)
+                else:
+                    chains.append([x])
+            for no, c in enumerate(chains):
+                lo, hi, tlo, thi = max(0, c[0]["at"] - WINDOW), max(x["at"] + x["n"] for x in c) + WINDOW, max(0, min(x["top_at"] for x in c) - WINDOW), max(x["top_at"] + x["top_n"] for x in c) + WINDOW
+                out.append({"rid": row["rid"], "top": row["top"], "no": no, "lo": lo, "hi": hi, "tlo": tlo, "thi": thi, "anchors": c})
+        yield pa.RecordBatch.from_pylist(out, _CHAIN_TYPE)
+
+
+_ANCHORS = "array<struct<at: int, n: int, top_at: int, top_n: int>>"
+_CHAIN = f"rid bigint, top bigint, no int, lo int, hi int, tlo int, thi int, anchors {_ANCHORS}"
+_ANCHOR_TYPE = pa.list_(pa.struct([(k, pa.int32()) for k in ("at", "n", "top_at", "top_n")]))
+_CHAIN_TYPE = pa.schema([("rid", pa.int64()), ("top", pa.int64()), *[(k, pa.int32()) for k in ("no", "lo", "hi", "tlo", "thi")], ("anchors", _ANCHOR_TYPE)])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, text, wanted spans -> the words of each, by their hashes."""
+    shingler = Shingler(SHINGLE)
+    for batch in batches:
+        for row in batch.to_pylist():
+            w = shingler.word_hashes(row["text"] or "").astype(np.uint32)
+            for at in range(0, len(row["want"]), 1024):
+                some = row["want"][at : at + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["rid"]] * len(some), pa.int64()), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["hi"] for x in some], pa.int32()), pa.array([w[x["lo"] : x["hi"]].tobytes() for x in some], pa.binary())],
+                    names=["rid", "lo", "hi", "words"],
+                )
+
+
+_STEPS = sorted(((e, f) for e in range(EDIT + 1) for f in range(EDIT + 1) if e or f), key=lambda x: (max(x), sum(x)))
+
+
+def grow(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """Lengths of the longest beginnings of a and b that align word by word, aligned words being num / den of all or more at each stretch's end."""
+    i = j = same = 0
+    best = (0, 0)
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        eq = a[i : i + n] == b[j : j + n]
+        k = n if eq.all() else int(eq.argmin())
+        i, j, same = i + k, j + k, same + k
+        if same and den * same >= num * (i + j - same):
+            best = (i, j)
+        for e, f in _STEPS if k < n else ():
+            if i + e + EDIT <= len(a) and j + f + EDIT <= len(b) and (a[i + e : i + e + EDIT] == b[j + f : j + f + EDIT]).all():
+                i, j = i + e, j + f
+                break
+        else:
+            return best
+
+
+def extend(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int, int]], num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """Spans (lo, hi, tlo, thi) of a and b that align, around anchors (first word and number of words in a, the same in b)."""
+    out: list[tuple[int, int, int, int]] = []
+    for at, n, top_at, top_n in anchors:
+        if out and out[-1][0] <= at and at + n <= out[-1][1] and out[-1][2] <= top_at and top_at + top_n <= out[-1][3]:
+            continue
+        runs = {b[j : j + SHINGLE].tobytes(): j for j in range(top_at + top_n - SHINGLE, top_at - 1, -1)}
+        at_, top_ = next(((i, runs[r]) for i in range(at, at + n - SHINGLE + 1) if (r := a[i : i + SHINGLE].tobytes()) in runs), (None, None))
+        if at_ is None:
+            continue
+        right, top_right = grow(a[at_:], b[top_:], num, den)
+        left, top_left = grow(a[:at_][::-1], b[:top_][::-1], num, den)
+        out.append((at_ - left, at_ + right, top_ - top_left, top_ + top_right))
+    return out
+
+
+def _extend(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                anchors = [(x["at"] - r["lo"], x["n"], x["top_at"] - r["tlo"], x["top_n"]) for x in r["anchors"]]
+                for lo, hi, tlo, thi in extend(np.frombuffer(r["words"], np.uint32), np.frombuffer(r["top_words"], np.uint32), anchors, num, den):
+                    out.append((r["rid"], r["top"], lo + r["lo"], hi + r["lo"], tlo + r["tlo"], thi + r["tlo"]))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rid", "top", "lo", "hi", "tlo", "thi"])
+
+    return run
+
+
+def _merged(spans: DataFrame, by: list[str], *also) -> DataFrame:
+    """Spans (lo, hi) of each group that overlap or touch, as one; `also` are aggregates of what was merged."""
+    w = Window.partitionBy(*by).orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("__new", F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0))
+    return opened.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *also).drop("__run")
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +264,7 @@ def _join(num: int, den: int):
 
 
 def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """One row per repeated paragraph in a run of min_words or more: rid, doc_id, idx, n_words, passage (its class), keep_id, removed."""
+    """Spans of words of min_words or more: rid, doc_id, lo, hi, keep_id, removed. Those that go are apart from each other, and name the document whose copy stays; the first copies have no keep_id."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = saved(numbered.mapInArrow(_paragraphs, _PARAGRAPHS), "paragraphs")
     reps = found.groupBy("digest").agg(F.min(F.struct("rid", "idx")).alias("at"), F.first("bands").alias("bands"))
@@ -149,42 +279,63 @@ def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_i
     links = tasks.join(sets, "digest").groupBy("band", "c1", "c2").applyInPandas(_join(num, den), "a bigint, b bigint")
     labels = components(saved(links.distinct(), "links"))
     named = found.drop("bands").join(labels.select(F.col("id").alias("digest"), "component_id"), "digest", "left").withColumn("passage", F.coalesce("component_id", "digest"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "idx")
-    groups = named.groupBy("passage").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).where("size > 1")
-    many = named.join(groups, "passage").select("rid", "doc_id", "idx", "n_words", "passage", F.col("top.doc_id").alias("keep_id"), ((F.col("rid") != F.col("top.rid")) | (F.col("idx") != F.col("top.idx"))).alias("again"))
-    many = many.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy("rid").orderBy("idx")))
-    long_ = many.withColumn("words", F.sum("n_words").over(Window.partitionBy("rid", "run"))).where(F.col("words") >= min_words)
-    return long_.select("rid", "doc_id", "idx", "n_words", "passage", "keep_id", F.col("again").alias("removed"))
+    pieces = named.select("rid", "doc_id", "at", F.col("n_words").alias("n"), "passage")
+    words = saved(numbered.mapInArrow(_seeds, "rid bigint, doc_id bigint, at int, passage bigint"), "seeds").select("rid", "doc_id", "at", F.lit(SEED).alias("n"), "passage")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at", "n")
+    anchors = []
+    for kind in (pieces, words):
+        groups = kind.groupBy("passage").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).where("size > 1").drop("size")
+        anchors.append(kind.join(groups, "passage").where("rid != top.rid OR at != top.at").select("rid", F.col("top.rid").alias("top"), F.struct("at", "n", F.col("top.at").alias("top_at"), F.col("top.n").alias("top_n")).alias("anchor")))
+    chains = saved(anchors[0].union(anchors[1]).groupBy("rid", "top").agg(F.collect_list("anchor").alias("anchors")).mapInArrow(_chains, _CHAIN), "chains")
+    texts = numbered.select("rid", "text")
+
+    def windows(spans: DataFrame) -> DataFrame:
+        want = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("want"))
+        return texts.join(want, "rid").mapInArrow(_windows, "rid bigint, lo int, hi int, words binary")
+
+    own = windows(chains.select("rid", "lo", "hi"))
+    first = windows(chains.select(F.col("top").alias("rid"), F.col("tlo").alias("lo"), F.col("thi").alias("hi"))).toDF("top", "tlo", "thi", "top_words")
+    both = chains.join(own, ["rid", "lo", "hi"]).join(first, ["top", "tlo", "thi"]).select("rid", "top", "lo", "tlo", "anchors", "words", "top_words")
+    spans = both.mapInArrow(_extend(num, den), "rid bigint, top bigint, lo bigint, hi bigint, tlo bigint, thi bigint")
+    long_ = saved(_merged(spans, ["rid", "top"], F.collect_set(F.struct("tlo", "thi")).alias("tops")).where(F.col("hi") - F.col("lo") >= min_words), "spans")
+    ids = numbered.select("rid", "doc_id")
+    held = long_.join(ids.select(F.col("rid").alias("top"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("rid").alias("r")).alias("keep")), "top")
+    gone = _merged(held, ["rid"], F.min("keep").alias("keep")).select("rid", "lo", "hi", F.col("keep.doc_id").alias("keep_id"), F.lit(True).alias("removed"))
+    kept = _merged(long_.select("top", F.explode("tops").alias("t")).select(F.col("top").alias("rid"), F.col("t.tlo").alias("lo"), F.col("t.thi").alias("hi")).distinct(), ["rid"])
+    return gone.union(kept.select("rid", "lo", "hi", F.lit(None).cast("long"), F.lit(False))).join(ids, "rid").select("rid", "doc_id", "lo", "hi", "keep_id", "removed")
 
 
 def per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_repeated and repeated_words (all copies), n_removed and removed_words (all but the first), keep_ids (sorted ids of documents whose copies stay)."""
-    found = repeats(docs, id_col=id_col, text_col=text_col, **options)
-    own = found.groupBy("rid").agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.sum("n_words").alias("repeated_words"), F.count_if("removed").alias("n_removed"),
-        F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).alias("removed_words"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("keep_id")))).alias("keep_ids"),
-    )
+    """One row per row of docs: rid, doc_id, n_repeated and repeated_words (spans of all copies), n_removed and removed_words (all but the first), keep_ids (sorted ids of documents whose copies stay)."""
+    found = saved(repeats(docs, id_col=id_col, text_col=text_col, **options), "repeats")
+    size = F.sum(F.col("hi") - F.col("lo"))
+    all_ = _merged(found, ["rid"]).groupBy("rid").agg(F.count(F.lit(1)).alias("n_repeated"), size.alias("repeated_words"))
+    gone = found.where("removed").groupBy("rid").agg(F.count(F.lit(1)).alias("n_removed"), size.alias("removed_words"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"))
+    own = all_.join(gone, "rid", "left")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     out = rows.join(own, "rid", "left").na.fill(0, ["n_repeated", "repeated_words", "n_removed", "removed_words"])
     return out.withColumn("keep_ids", F.coalesce("keep_ids", F.array().cast("array<bigint>")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all rows and columns, with the removed paragraphs cut out of the text."""
-    gone = repeats(docs, id_col=id_col, text_col=text_col, **options).where("removed").groupBy("rid").agg(F.collect_list("idx").alias("__gone")).withColumnRenamed("rid", "__rid")
+    """docs, all rows and columns, with the removed spans cut out of the text."""
+    gone = repeats(docs, id_col=id_col, text_col=text_col, **options).where("removed").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__gone")).withColumnRenamed("rid", "__rid")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, places: pd.Series) -> pd.Series:
-        cutter, out = Cutter(), []
+        out = []
         for text, gone_ in zip(texts, places, strict=True):
             if text is None or gone_ is None:
                 out.append(text)
                 continue
-            starts, *_ = cutter.cut(text)
             b = text.encode("utf-8", "surrogatepass")
-            ends = [*starts[1:].tolist(), len(b)]
-            left_out = set(gone_)
-            out.append((b[: starts[0]] + b"".join(b[s:e] for i, (s, e) in enumerate(zip(starts.tolist(), ends, strict=True)) if i not in left_out)).decode("utf-8", "surrogatepass"))
+            word = ~_WHITE[np.frombuffer(b, np.uint8)]
+            starts = [*np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])).tolist(), len(b)]
+            at, left = 0, []
+            for g in gone_:
+                left.append(b[at : starts[g["lo"]]])
+                at = starts[g["hi"]]
+            out.append((b"".join(left) + b[at:]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
     joined = docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left")

@@ -30,6 +30,28 @@ def test_planted_passages_are_found_and_clean_ones_stay(spark, tmp_path):
     assert {r.doc_id: r for r in P.per_document(df, block=2).collect()} == got
 
 
+def test_short_passages_with_an_edit_are_found_whole(spark, tmp_path):
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for i in range(120):
+        n = rng.randint(51, 60)
+        first = prose(rng, n).split()
+        again = list(first)
+        if i % 3 == 1:
+            again[n // 2] = "changed"
+        elif i % 3 == 2:
+            again[n // 2 : n // 2 + 1] = ["put", "between"]
+        for k, words in enumerate((first, again)):
+            rows.append((2 * i + k, f"{prose(rng, rng.randint(5, 80))} {' '.join(words)} {prose(rng, rng.randint(5, 80))}", "en", "a"))
+        planted[2 * i + 1] = len(again)
+    df = stored(spark, tmp_path, docs(spark, rows))
+    got = {r.doc_id: r for r in P.per_document(df).collect()}
+    for i, n in planted.items():
+        assert got[i].removed_words == n and got[i].keep_ids == [i - 1] and got[i].n_removed == 1
+        assert got[i - 1].removed_words == 0 and n - 1 <= got[i - 1].repeated_words <= n
+    assert all("changed" not in (r.text or "") and "between" not in (r.text or "") for r in P.remove_repeats(df).collect())
+
+
 def test_verified_links_are_exact():
     rng = random.Random(5)
     cutter = P.Cutter()
