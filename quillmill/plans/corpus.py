@@ -151,6 +151,15 @@ def _(spark, d):
     return j.where((i / (F.col("na") + F.col("nb") - i) >= 0.3) | (i / F.least("na", "nb") >= 0.45)).select("a", "b", i.alias("inter"))
 
 
+@query("d_line_set_whole")
+def _(spark, d):
+    """Pairs by all shared normal lines, however many documents hold them: Jaccard of 0.3 or containment of 0.45. One row per pair of different sets (kind pair) and one per document whose set is equal to an earlier one's (kind copy)."""
+    s = S.cut(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(T.norm_lines("text")).alias("g")).distinct())
+    c = S.cut(S.set_classes(s))
+    pairs = S.whole_pairs(s, c, 0.3, 0.45).select("a", "b", "inter", F.lit("pair").alias("kind"))
+    return pairs.union(c.where("id != rep").select("rep", "id", "n", F.lit("copy")))
+
+
 _BGRAMS = _GRAMS.replace("documents", "benchmark").replace("doc_id", "item_id").replace("toks", "btoks").replace("pos", "bpos").replace("g0", "bg0").replace("grams", "bgrams")
 
 
