@@ -127,6 +127,12 @@ def near_clusters(spark, d):
 query("d_near_clusters", f"{_CLUSTERS} SELECT id, cluster FROM cl")(near_clusters)
 
 
+@query("d_near_clusters_whole")
+def whole_clusters(spark, d):
+    """Clusters of near-duplicate documents, groups of any size and short texts among them."""
+    return S.whole_clusters(table(spark, d, "documents"))
+
+
 @query("d_cluster_roles", f"""{_CLUSTERS}, r AS (SELECT cl.id, cluster, CASE WHEN id % 5 = 0 THEN 'EXAM' ELSE 'TRAIN' END AS role FROM cl)
 SELECT id, cluster, role, CASE WHEN role = 'TRAIN' AND bool_or(role = 'EXAM') OVER (PARTITION BY cluster) THEN 'QUARANTINE' ELSE role END AS final FROM r""")
 def _(spark, d):

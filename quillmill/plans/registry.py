@@ -31,9 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of near-duplicate documents."""
-    from .corpus import near_clusters
+    from .corpus import whole_clusters
 
-    return near_clusters(spark, sf_dir)
+    return whole_clusters(spark, sf_dir)
 
 
 def _load() -> None:
