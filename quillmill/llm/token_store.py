@@ -13,7 +13,7 @@ ends at the first document that takes it past BLOCK_IDS ids; a longer document f
 
 Defined results: null texts encode as empty ones (one end id); rows tied in doc_id keep the order of
 their texts; rows with null doc_id come first; an empty table gives a store without blocks; other
-columns are ignored. Strings of special tokens in a text are ordinary text.
+columns are ignored. A special token of the tokenizer's file that stands in a text gets its own id, as the library does by default.
 """
 
 from __future__ import annotations
@@ -91,12 +91,27 @@ class EliasFano:
         return self.base + high + (bits.astype(np.int64) << np.arange(self.low_bits, dtype=np.int64)).sum(1)
 
 
+class _Pieces(dict):
+    """Numbers of the entries of pieces; a piece that isn't there gets the next number and waits in `new`."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = self.next + len(self.new)
+        self.new.append(piece)
+        return at
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
     A text is cut before its spaces. Such a cut never falls inside a pre-token, unless the space stands between two white-space characters or
-    at the end of the text after one: those texts go to the library whole. Elsewhere the pieces encode apart; the ids of a piece are kept
-    in a table, and the library encodes the pieces that aren't there, many in one call: a token that
+    at the end of the text after one, or a special token is about: those texts go to the library whole. Elsewhere the pieces encode apart; the ids of a piece are kept
+    in a table, and the library encodes the pieces that aren't there. Latin letters with or without ASCII punctuation behind them are one pre-token
+    or two, which go straight to the library's model; other pieces go through its whole chain, many in one call: a token that
     begins with a space begins a piece. When the table is full, what was met once goes.
     """
 
@@ -108,17 +123,25 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"\s (?=\s|\Z)")
+        # letters of Latin-1 and the two blocks after it
+        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+        # how the file spells a byte: the library's own answer for each character of one byte in Latin-1, by its UTF-8 bytes
+        self.spelled = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(1, 0x250)}
+        self.space = self.spelled[32]
+        self.tails: dict[str, list[int]] = {"": []}
         n = self.tokenizer.get_vocab_size()
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-        self.pieces: dict[str, int] = {}  # by the text after the space
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.space) for i in range(n)])
         self._empty()
 
     def _empty(self) -> None:
         """No entries: of entry i the ids are ids[first[i] : first[i] + size[i]], met met[i] times. Arrays grow by doubling."""
+        self.pieces = _Pieces()  # by the text after the space
         self.entries, self.held = 0, 0
         self.first, self.size, self.met = (np.zeros(1 << 12, k) for k in (np.int64, np.int32, np.int32))
         self.ids = np.zeros(1 << 14, np.uint16 if len(self.opens) <= 1 << 16 else np.uint32)
@@ -141,18 +164,39 @@ class Encoder:
         return at
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w and w.isprintable()]  # no white space in them
-        other = [w for w in new if not w or not w.isprintable()] if len(plain) < len(new) else []
-        for i in range(0, len(plain), 1024):
-            some = plain[i : i + 1024]
-            ids = self._whole([" " + " ".join(some)])[0]
+        """Stores the ids of new pieces, in their order."""
+        found: list[list[int]] = [[]] * len(new)
+        plain, other = [], []
+        stems: dict[str, list[int]] = {}
+        tokenize, simple, spelled, known = self.model.tokenize, self.simple, self.spelled, self.pieces.get
+        for i, piece in enumerate(new):
+            m = simple(piece)
+            if m is None:  # printable characters are no white space
+                (plain if piece and piece.isprintable() else other).append(i)
+                continue
+            stem, tail = m.groups()
+            ids = stems.get(stem)
+            if ids is None:
+                at = known(stem, self.entries)
+                if at < self.entries:
+                    ids = self.ids[self.first[at] : self.first[at] + self.size[at]].tolist()
+                else:
+                    ids = [t.id for t in tokenize(self.space + (stem if stem.isascii() else stem.translate(spelled)))]
+                stems[stem] = ids
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": []}
+                self.tails[tail] = [t.id for t in tokenize(tail)]
+            found[i] = ids + self.tails[tail]
+        for k in range(0, len(plain), 1024):
+            some = plain[k : k + 1024]
+            ids = self._whole([" " + " ".join([new[i] for i in some])])[0]
             begins = np.flatnonzero(self.opens[ids])
-            at = self._store(np.diff(np.append(begins, len(ids))), ids)
-            self.pieces.update(zip(some, range(at, at + len(some)), strict=True))
-        if other:
-            coded = self._whole([" " + w for w in other])
-            at = self._store(np.array([len(x) for x in coded]), np.concatenate(coded))
-            self.pieces.update(zip(other, range(at, at + len(other)), strict=True))
+            for i, x in zip(some, np.split(ids, begins[1:]), strict=True):
+                found[i] = x.tolist()
+        for i, x in zip(other, self._whole([" " + new[i] for i in other]) if other else [], strict=True):
+            found[i] = x.tolist()
+        self._store(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32))
 
     def _tidy(self) -> None:
         """Keeps the short pieces met twice or more, up to half the room."""
@@ -163,24 +207,26 @@ class Encoder:
         self._empty()
         if often:
             self._store(np.array([len(x) for x in ids]), np.concatenate(ids))
-        self.pieces = {w: k for k, (w, _) in enumerate(often)}
+        self.pieces = _Pieces((w, k) for k, (w, _) in enumerate(often))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each with end_id behind it, and the number of ids of each."""
         self._tidy()
-        cut = [[t] if self.odd.search(t) else t.split(" ") for t in texts]
+        cut = [[t] if self.odd.search(t) or any(x in t for x in self.special) else t.split(" ") for t in texts]
         # what has no space before it has no entry of its own: beginnings, and whole odd texts
         apart = self._whole([ws[0] for ws in cut])
-        for ws in cut:
-            del ws[0]
-        self._learn(list(set().union(*cut) - self.pieces.keys()))
         own = self._store(np.array([*(len(x) for x in apart), 1]), np.concatenate([*apart, np.array([end_id], np.uint32)]))
         end = own + len(texts)
+        self.pieces.new, self.pieces.next = [], self.entries
+        number = self.pieces.__getitem__
         order: list[int] = []
         for i, ws in enumerate(cut):
+            del ws[0]
             order.append(own + i)
-            order.extend(map(self.pieces.__getitem__, ws))
+            order.extend(map(number, ws))
             order.append(end)
+        if self.pieces.new:
+            self._learn(self.pieces.new)
         at = np.array(order, np.int64)
         self.met[: self.entries] += np.bincount(at, minlength=self.entries).astype(np.int32)
         sizes = self.size[at].astype(np.int64)
@@ -224,24 +270,28 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "block", "n_docs", "n_ids", "n_null", "ids", "bounds", "doc_ids"])
 
+        collecting = gc.isenabled()
         gc.disable()  # lists of millions of strings and numbers, no cycles among them
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                got, n = coder.encode(some.column(1).to_pylist(), end_id)
-                begin = 0
-                for d, end in zip(some.column(0).to_pylist(), np.cumsum(n).tolist(), strict=True):
-                    docs.append(d)
-                    ids.append(got[begin:end])
-                    sizes.append(end - begin)
-                    held += end - begin
-                    begin = end
-                    if held >= block_ids:
-                        yield flush()
-                        docs, ids, sizes, held, block = [], [], [], 0, block + 1
-        if docs:
-            yield flush()
-        gc.enable()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    got, n = coder.encode(some.column(1).to_pylist(), end_id)
+                    begin = 0
+                    for d, end in zip(some.column(0).to_pylist(), np.cumsum(n).tolist(), strict=True):
+                        docs.append(d)
+                        ids.append(got[begin:end])
+                        sizes.append(end - begin)
+                        held += end - begin
+                        begin = end
+                        if held >= block_ids:
+                            yield flush()
+                            docs, ids, sizes, held, block = [], [], [], 0, block + 1
+            if docs:
+                yield flush()
+        finally:
+            if collecting:
+                gc.enable()
 
     return run
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quillmill.llm import token_store as S
 
@@ -28,12 +29,14 @@ def test_size_is_near_minimal():
     assert len(S.EliasFano.encode(values)) * 8 / 20_000 < 2 + 10 + 1.5
 
 
+FRESH = Tokenizer.from_file(S.tokenizer_path())  # none of the encoder's settings
+
+
 def plain(text):
-    e = S.encoder(S.tokenizer_path())
-    return [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*FRESH.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-ODD = ["  two  spaces \n x", "a \n\n b", "tail ", "\n lead", " x", "a  b", "x\n ", "word\n\nnext  \n three", "\x1c \x1c", "a\t b\r\n c", "don't we'll", "a" * 5000]
+ODD = ["hello <|endoftext|> world", "x<|endoftext|>", "naïve Über... ſtop ɐpple ²½ it's 12abc","  two  spaces \n x", "a \n\n b", "tail ", "\n lead", " x", "a  b", "x\n ", "word\n\nnext  \n three", "\x1c \x1c", "a\t b\r\n c", "don't we'll", "a" * 5000]
 
 
 def test_encoder_equals_the_library():
