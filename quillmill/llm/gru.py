@@ -20,26 +20,32 @@ def run(table: np.ndarray, symbols: np.ndarray, u: np.ndarray, reverse: bool) ->
     """States (T, B, H) after each step of symbols (T, B)."""
     steps, b = symbols.shape
     h = u.shape[0]
-    # s(x) = (tanh(x / 2) + 1) / 2: halve the columns once rather than at every step
-    half = np.ones(3 * h, F4)
-    half[: 2 * h] = 0.5
-    table, u = table * half, u * half
+    # s(x) = (tanh(x / 2) + 1) / 2: columns are halved once rather than at every step; each gate has arrays of its own, so that all lie in a row
+    tz, tr, tc = (np.ascontiguousarray(table[:, i * h : (i + 1) * h]) * F4(0.5 if i < 2 else 1) for i in range(3))
+    uz, ur, uc = (np.ascontiguousarray(u[:, i * h : (i + 1) * h]) * F4(0.5) for i in range(3))
     out = np.empty((steps, b, h), F4)
-    state, g, hu, d = np.zeros((b, h), F4), np.empty((b, 3 * h), F4), np.empty((b, 3 * h), F4), np.empty((b, h), F4)
+    state = np.zeros((b, h), F4)
+    z, r, c, d = (np.empty((b, h), F4) for _ in range(4))
     for t in range(steps - 1, -1, -1) if reverse else range(steps):
-        np.take(table, symbols[t], axis=0, out=g, mode="clip")
-        np.dot(state, u, out=hu)
-        gates = g[:, : 2 * h]
-        gates += hu[:, : 2 * h]
-        np.tanh(gates, out=gates)
-        gates += 1.0
-        gates *= 0.5
-        np.multiply(gates[:, h:], hu[:, 2 * h :], out=d)
-        c = g[:, 2 * h :]
+        s = symbols[t]
+        np.take(tz, s, axis=0, out=z, mode="clip")
+        np.dot(state, uz, out=d)
+        z += d
+        np.tanh(z, out=z)
+        z += 1.0
+        np.take(tr, s, axis=0, out=r, mode="clip")
+        np.dot(state, ur, out=d)
+        r += d
+        np.tanh(r, out=r)
+        r += 1.0
+        np.dot(state, uc, out=d)
+        d *= r
+        np.take(tc, s, axis=0, out=c, mode="clip")
         c += d
         np.tanh(c, out=c)
         np.subtract(state, c, out=d)
-        d *= gates[:, :h]
+        d *= z
+        d *= 0.5
         np.add(c, d, out=out[t])
         state = out[t]
     return out

@@ -32,7 +32,7 @@ TRAIN_DOCS = 400
 TRAIN_SEGMENTS = 6
 EXCERPT = 2000
 EPOCHS = 8
-SLAB = 1024
+SLAB = 2048
 UNKNOWN = "und"
 #: keep_known drops documents whose best language scores less.
 MIN_SCORE = 0.35
@@ -51,15 +51,17 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 def probabilities(model: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Sums over its positions of the language probabilities of each row of symbols."""
-    symbols = np.ascontiguousarray(rows.T)
-    logits = gru.run(model["in_f"], symbols, model["u_f"], False) @ model["out_f"]
-    logits += gru.run(model["in_b"], symbols, model["u_b"], True) @ model["out_b"]
-    logits += model["bias"]
-    logits -= logits.max(2, keepdims=True)
+    symbols = np.ascontiguousarray(rows.T.astype(np.intp))
+    h = len(model["out_f"])
+    # a row for each language, so that the steps below run along the positions
+    logits = np.dot(model["out_f"].T, gru.run(model["in_f"], symbols, model["u_f"], False).reshape(-1, h).T)
+    logits += np.dot(model["out_b"].T, gru.run(model["in_b"], symbols, model["u_b"], True).reshape(-1, h).T)
+    logits += model["bias"][:, None]
+    logits -= logits.max(0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(2, keepdims=True)
-    logits *= (symbols != PAD)[:, :, None]
-    return logits.sum(0)
+    share = (symbols != PAD).ravel() / logits.sum(0)
+    logits *= share
+    return logits.reshape(len(logits), *symbols.shape).sum(1).T
 
 
 def train(texts: list[str], labels: list[int], n_labels: int, seed: int = 7, epochs: int = EPOCHS, units: int = UNITS) -> dict[str, np.ndarray]:
