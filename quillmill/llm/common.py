@@ -40,6 +40,23 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """rows joined with side (one row for each key at most), where a few keys may hold a large part of rows.
+
+    Keys of more than 1 / HOT of all rows, of which there are fewer than HOT, have their row of side broadcast; rows of the
+    other keys are shuffled. rows and side should be tables or written intermediates, as they are read more than once.
+    sizes (keys, size) are the numbers of rows by key, if they are known, at least those of the large ones.
+    """
+    total = rows.count() if sizes is None else sizes.agg(F.sum("size")).first()[0] or 0
+    sizes = sizes if sizes is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    hot = F.broadcast(sizes.where(F.col("size") > total / HOT).select(*keys))
+    beside = F.broadcast(side.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_semi").join(beside, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(side, keys, how))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b) as (id, component_id), component_id the smallest id reached.
 

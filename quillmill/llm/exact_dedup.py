@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_hot, saved
 
 BLOCK_CHARS = 4096
 BUCKETS = 1 << 16
@@ -59,8 +59,8 @@ def _name(bucket, order: list):
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """One row per input row: rid, doc_id, sha (of the text in UTF-8), n (blocks), name."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     cut = rows.mapInArrow(_cut(block_chars), _BLOCKS)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
     named = cut.select("members", _name(F.col("bucket"), ["block"]).alias("name"))
@@ -87,9 +87,9 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: rid, doc_id, keep_id, group_size, kept, text_sha256."""
-    named = name_documents(docs, id_col, text_col, block_chars)
+    named = saved(name_documents(docs, id_col, text_col, block_chars), "named")
     groups = named.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["n", "name"]).select(
+    return join_hot(named, groups, ["n", "name"]).select(
         "rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

@@ -8,12 +8,14 @@ link when the Jaccard similarity of their sets is at least num / den.
    sizes can differ in elements, and one more. Linked sets then agree in a whole part, so a hash of each
    leading part is a key under which they meet. A part holds several n-grams, so that a passage or line
    that very many documents share doesn't bring them together unless it is most of their text.
-3. The sets met under keys with the same smallest member form a group. A group is cut into chunks of bounded weight, each
-   with that smallest member. In a chunk the ordered sets are stored in a trie; each set is walked
+3. The sets met under keys with the same smallest member form a group. Most meet by a passage and are far from linked. So each set has
+   a signature, a bitmap of 2 to 4 bits an element: the places where two of them differ are no more than the elements in which the sets do. A member
+   of a group of up to SCREEN sets stays in it only if its signature lets it link with some other member; larger groups stay as they are.
+4. A group is cut into chunks of bounded weight, each with that smallest member. In a chunk the ordered sets are stored in a trie; each set is walked
    through it once, sharing the overlap counted so far between all sets below a node, and a subtree is left
    as soon as the lengths still remaining can't reach the overlap that its smallest fitting member needs.
    Only links that join two sets not yet joined are emitted: a spanning forest, not all pairs.
-4. In groups of several chunks that have not become one component, the pairs of chunks that may still
+5. In groups of several chunks that have not become one component, the pairs of chunks that may still
    hold a link are joined in the same way. No pair of sets that share a key is left out.
 
 Defined results: null texts and texts without words have the empty set, link with nothing and are
@@ -28,16 +30,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, join_hot, saved
 
 #: Bound on a chunk: the sum over its sets of their sizes and DOC_WEIGHT.
 CHUNK_WEIGHT = 600_000
 DOC_WEIGHT = 2_500
+#: Groups of up to so many sets and n-grams are screened by signatures.
+SCREEN, SCREEN_GRAMS = 4096, 1 << 26
 #: Sizes from lo to CLASS_GROWTH * lo are cut at the same places.
 CLASS_GROWTH = 1.5
 
@@ -131,17 +134,53 @@ class Scheme:
             part = ((s >> _U(32)) * _U(m)) >> _U(32)
             full, first = np.unique(part, return_index=True)
             sums = np.add.reduceat(mix64(s ^ _U(0x5851F42D4C957F2D)), first)
-            tag = full * _U(0x9FB21C651E98DF25) + _U(c + 1) * _U(0xC2B2AE3D27D4EB4F)
+            class_tag = _U((c + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+            tag = full * _U(0x9FB21C651E98DF25) + class_tag
             keys = mix64(sums + mix64(tag))
             if len(full) >= need:
                 keys = keys[:need]
             else:  # with that few filled parts the empty ones count too
                 none = np.setdiff1d(np.arange(m, dtype=_U), full)
-                keys = np.concatenate([keys, mix64(mix64(none * _U(0x9FB21C651E98DF25) + _U(c + 1) * _U(0xC2B2AE3D27D4EB4F)))])
+                keys = np.concatenate([keys, mix64(mix64(none * _U(0x9FB21C651E98DF25) + class_tag))])
             out.append(keys)
         return np.concatenate(out)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap with a bit set for each element, of a power of two of bits, twice as many as elements or more."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[s & _U(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def screen(sizes: list[int], signatures: list[bytes], scheme: Scheme) -> np.ndarray:
+    """Which of the sets may link with another one, by their sizes and signatures."""
+    order = np.argsort(sizes, kind="stable")
+    n = np.array(sizes)[order]
+    words = [np.frombuffer(signatures[i], "<u8") for i in order]
+    ends = np.searchsorted(n, n * scheme.den // scheme.num, "right")
+    may = np.zeros(len(n), bool)
+    widths = np.array([len(w) for w in words])
+    for width in np.unique(widths).tolist():  # sizes and widths grow together
+        first, last = np.searchsorted(widths, [width, width + 1]).tolist()
+        # wider bitmaps come to this width by laying their parts over each other
+        table = np.stack([np.bitwise_or.reduce(w.reshape(-1, width)) for w in words[first : int(ends[last - 1])]])
+        for i in range(first, last):
+            near = np.arange(i + 1, int(ends[i]))
+            if may[i]:
+                near = near[~may[near]]
+            if not len(near):
+                continue
+            apart = np.bitwise_count(table[near - first] ^ table[i - first]).sum(1, dtype=np.int64)
+            good = near[apart <= (n[i] + n[near]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)]
+            may[good] = True
+            may[i] |= bool(len(good))
+    out = np.zeros(len(n), bool)
+    out[order] = may
+    return out
+
+
 class _Node:
     __slots__ = ("edge", "kids", "least", "most", "ends")
 
@@ -240,17 +279,20 @@ def join_chunk(ids: list[int], sets: list[np.ndarray], scheme: Scheme, joined: l
 
 
 def _sets(k: int):
-    """rid, doc_id, text -> rid, doc_id, n, digest of the set."""
+    """rid, doc_id, text -> rid, doc_id, n, digest and signature of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(k)
         for batch in batches:
-            n, digest = [], []
-            for text in batch.column(2):
-                s = make.ordered_set(text.as_py())
-                n.append(len(s))
-                digest.append(hashlib.md5(s.tobytes()).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=["rid", "doc_id", "n", "digest"])
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                n, digest, sig = [], [], []
+                for text in some.column(2):
+                    s = make.ordered_set(text.as_py())
+                    n.append(len(s))
+                    digest.append(hashlib.md5(s.tobytes()).digest())
+                    sig.append(signature(s) if len(s) else b"")
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["rid", "doc_id", "n", "digest", "sig"])
 
     return run
 
@@ -296,28 +338,73 @@ def _wanted_sets(k: int):
     return run
 
 
+def in_groups(rows: DataFrame, keys: list[str], order: str, values: list[str], fn, schema: str) -> DataFrame:
+    """fn(values as lists) -> rows as tuples, for each group of rows with equal integer keys, in ascending order.
+
+    Groups come one after another in a partition, so that many small ones cost little more than their rows; a group should be bounded.
+    """
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, [[] for _ in values], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([c.to_numpy() for c in batch.columns[: len(keys)]], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            cols = [c.to_pylist() for c in batch.columns[len(keys) :]]
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = at[lo].tolist()
+                if key != last:
+                    if last is not None:
+                        out += fn(*held)
+                    last, held = key, [[] for _ in values]
+                for h, c in zip(held, cols, strict=True):
+                    h += c[lo:hi]
+                if len(out) > 1 << 16:
+                    yield made(out)
+                    out = []
+        if last is not None:
+            out += fn(*held)
+        if out:
+            yield made(out)
+
+    placed = rows.select(*[F.col(k).cast("long") for k in keys], *values).repartition(*keys)
+    return placed.sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def _screened(num: int, den: int):
+    scheme = Scheme(num, den)
+
+    def run(heads: list[int], rids: list[int], n: list[int], signatures: list[bytes]) -> list[tuple]:
+        return [(heads[i], rids[i], n[i]) for i in np.flatnonzero(screen(n, signatures, scheme)).tolist()]
+
+    return run
+
+
 def _join_tasks(num: int, den: int):
-    def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        rows = chunk.sort_values("rid", kind="stable")
-        ids = rows["rid"].tolist()
-        sets = [np.frombuffer(x, _U) for x in rows["items"]]
-        links = join_chunk(ids, sets, Scheme(num, den), rows["comp"].tolist())
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    scheme = Scheme(num, den)
+
+    def run(rids: list[int], items: list[bytes], comps: list[int]) -> list[tuple]:
+        return join_chunk(rids, [np.frombuffer(x, _U) for x in items], scheme, comps)
 
     return run
 
 
 def _run_tasks(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links found in tasks (t1, t2, t3, rid, comp)."""
-    return tasks.join(sets, "rid").groupBy("t1", "t2", "t3").applyInPandas(_join_tasks(num, den), "a bigint, b bigint")
+    return in_groups(tasks.join(sets, "rid"), ["t1", "t2", "t3"], "rid", ["rid", "items", "comp"], _join_tasks(num, den), "a bigint, b bigint")
 
 
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_weight: int = CHUNK_WEIGHT) -> DataFrame:
     """One row per row of docs: rid (its position), doc_id, n_shingles, component (a rid), component_id."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    base = saved(numbered.mapInArrow(_sets(k), "rid bigint, doc_id bigint, n bigint, digest binary"), "sets")
+    base = saved(numbered.mapInArrow(_sets(k), "rid bigint, doc_id bigint, n bigint, digest binary, sig binary"), "sets")
     reps = base.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"))
-    folded = saved(base.join(reps, "digest", "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")), "folded")
+    folded = saved(join_hot(base.select("rid", "doc_id", "n", "digest"), reps, ["digest"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")), "folded")
 
     keys = numbered.mapInArrow(_keys(k, num, den), "key bigint, rid bigint")
     met = keys.withColumn("head", F.min("rid").over(Window.partitionBy("key"))).where("head != rid").select("head", "rid").distinct()
@@ -327,6 +414,13 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     pairs = saved(pairs, "met")
     alone = pairs.select("head").distinct().join(folded.select(F.col("rid").alias("head"), "n"), "head").select("head", F.col("head").alias("rid"), "n")
 
+    whole = Window.partitionBy("head")
+    members = saved(pairs.union(alone).withColumn("small", (F.count(F.lit(1)).over(whole) <= SCREEN) & (F.sum("n").over(whole) <= SCREEN_GRAMS)), "groups")
+    signed = members.where("small").join(base.select("rid", "sig"), "rid").withColumn("at", F.col("head"))
+    screened = in_groups(signed, ["at"], "rid", ["head", "rid", "n", "sig"], _screened(num, den), "head bigint, rid bigint, n bigint")
+    stay = saved(members.where("NOT small").select("head", "rid", "n").union(screened), "screened")
+    pairs, alone = stay.where("head != rid"), stay.where("head = rid")
+
     # chunks of a group; its head goes to each
     w = Window.partitionBy("head").orderBy("rid")
     weight = F.col("n") + F.lit(DOC_WEIGHT)
@@ -363,9 +457,11 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         more = saved(_run_tasks(saved(rest, "tasks"), sets, num, den), "links")
         if more.limit(1).count():
             labels = saved(components(links.union(more)), "components")
-    named = folded.join(labels.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("rid", "doc_id", "n", F.coalesce("c", "rep").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id")
+    # names go to the representatives first, whose rows are fewer, and from them to the copies
+    own = saved(folded.groupBy("rep").agg(F.min("doc_id").alias("least")).join(labels.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("rep", "least", F.coalesce("c", "rep").alias("component")), "own")
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = saved(join_hot(own, least, ["component"]).select("rep", "component", "component_id"), "named")
+    return join_hot(folded, named, ["rep"]).select("rid", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

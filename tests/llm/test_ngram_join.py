@@ -101,3 +101,31 @@ def test_trie_finds_what_brute_force_finds():
             for b in sets:
                 if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
                     assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
+
+
+def test_screening_keeps_every_set_that_links():
+    rng = np.random.default_rng(3)
+    for num, den in ((80, 100), (90, 100), (50, 100)):
+        scheme = N.Scheme(num, den)
+        sets = []
+        for _ in range(40):
+            base = rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)
+            sets.append(np.unique(base))
+            for _ in range(rng.integers(0, 3)):
+                other = base.copy()
+                other[rng.random(len(base)) < rng.random() * 0.4] ^= np.uint64(1 << 40)
+                sets.append(np.unique(np.concatenate([other, rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)])))
+        may = N.screen([len(s) for s in sets], [N.signature(s) for s in sets], scheme)
+        for i, a in enumerate(sets):
+            for b in sets[:i]:
+                both = len(np.intersect1d(a, b))
+                if den * both >= num * (len(a) + len(b) - both):
+                    assert may[i]
+        assert not may.all()
+
+
+def test_large_groups_pass_unscreened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "SCREEN", 3)
+    rows = planted(11)
+    got = N.similarity_components(stored(spark, tmp_path, docs(spark, rows)), k=3, num=80, den=100)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute(rows, 3, 80, 100)
