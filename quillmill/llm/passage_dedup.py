@@ -4,17 +4,18 @@ A text is cut into paragraphs at line ends and, inside lines, before words whose
 REACH words on either side: a passage is cut alike wherever it stands, whatever surrounds it. A paragraph's set is that
 of its five-word shingles; those with fewer words are never repeats by themselves.
 
-1. Paragraphs of equal sets are folded to one representative.
-2. A representative gets BANDS keys, each of ROWS minima of hashed shingles. Two of a Jaccard similarity of 0.8 share a key
-   with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998 as set.
-3. Representatives with a key in common are joined in blocks of at most BLOCK, each pair of blocks in a task of
+1. A paragraph gets BANDS keys, each of ROWS minima of hashed shingles. Two of a Jaccard similarity of 0.8 share a key
+   with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998 as set. Only the digest of a paragraph goes with its keys, once for
+   all equal paragraphs of a batch.
+2. Different paragraphs with a key in common are joined in blocks of at most BLOCK, each pair of blocks in a task of
    its own; in a task a prefix tree finds the links by exact Jaccard similarity and emits a spanning forest, not all pairs.
-4. Components of links are repeats of one passage. So are equal seeds: in each WINNOW successive runs of SEED words the one of the least hash,
+3. Components of links, and equal paragraphs, are repeats of one passage. So are equal seeds: in each WINNOW successive runs of SEED words the one of the least hash,
    so that any two texts that share SEED + WINNOW - 1 words in a row share a seed there.
-5. Repeats are only anchors. Each one is compared with the first of its passage, by document id, word by word to both sides, over insertions, deletions and
+4. Repeats are only anchors. Each one is compared with the first of its passage, by document id, word by word to both sides, over insertions, deletions and
    changes of up to EDIT words, as long as the words aligned are num / den of all words of the two spans. Anchors of the same two documents
-   that lie on one diagonal share a window of words, which goes WINDOW words beyond them.
-6. Spans of a document that repeat the same first document and touch are merged, and go where they make up MIN_WORDS words or more, so that a stock phrase stays.
+   that lie on one diagonal share a window of words, which goes WINDOW words beyond them. Where texts are needed apart from their documents,
+   words go as numbers of three bytes, hashes that two different words share once in 16 million times.
+5. Spans of a document that repeat the same first document and touch are merged, and go where they make up MIN_WORDS words or more, so that a stock phrase stays.
 
 Defined results: null and empty texts have no paragraphs; rows are told apart by position, so equal ids are separate rows; a null id comes
 last; an empty table gives an empty result; other columns are kept by `remove_repeats`. The input must be repeatable.
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, saved
-from .ngram_join import Scheme, Shingler, join_chunk, mix64
+from .common import components, join_hot, saved
+from .ngram_join import Scheme, Shingler, in_groups, join_chunk, mix64
 
-REACH = 8
+REACH = 12
 SHINGLE = 5
-ROWS, BANDS = 2, 6
+ROWS, BANDS = 1, 4
 MIN_WORDS = 20
 BLOCK = 2000
 SEED, WINNOW = 10, 16
@@ -94,31 +95,47 @@ def _bands(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return key
 
 
-_PARAGRAPHS = "rid bigint, doc_id bigint, idx int, n_words int, digest bigint, bands array<bigint>, at int"
+def _digests(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    sums = np.add.reduceat(mix64(sets ^ _U(0x5851F42D4C957F2D)), begin)
+    return mix64(sums + np.diff(np.append(begin, len(sets))).astype(_U)).view(np.int64)
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, doc_id, text -> its paragraphs with a set: first word, number of words, digest of the set."""
     cutter = Cutter()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
-            rows, keys = [], []
+            rows, cols = [], [[], [], []]
             for i, text in enumerate(some.column(2)):
                 _, size, sets, owner = cutter.cut(text.as_py() or "")
                 if not len(sets):
                     continue
                 idx, begin = np.unique(owner, return_index=True)
-                digest = np.add.reduceat(mix64(sets ^ _U(0x5851F42D4C957F2D)), begin)
                 rows.append(np.full(len(idx), i))
-                for c, v in zip(cols, (idx, size[idx], mix64(digest + np.diff(np.append(begin, len(sets))).astype(_U)).view(np.int64), (np.cumsum(size) - size)[idx]), strict=True):
+                for c, v in zip(cols, ((np.cumsum(size) - size)[idx], size[idx], _digests(sets, begin)), strict=True):
                     c.append(v)
-                keys.append(_bands(sets, begin).view(np.int64))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                idx, size, digest, first = (np.concatenate(c) for c in cols)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(idx) + 1), BANDS), pa.int32()), pa.array(np.concatenate(keys).ravel()))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(idx, pa.int32()), pa.array(size, pa.int32()), pa.array(digest), bands, pa.array(first, pa.int32())], names=["rid", "doc_id", "idx", "n_words", "digest", "bands", "at"])
+                first, size, digest = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(digest)], names=["rid", "doc_id", "at", "n", "digest"])
+
+
+def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> band keys and digests of its paragraphs, once for equal ones of a batch."""
+    cutter = Cutter()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            digests, keys = [], []
+            for text in batch.column(0).slice(at, 1024):
+                *_, sets, owner = cutter.cut(text.as_py() or "")
+                if len(sets):
+                    begin = np.unique(owner, return_index=True)[1]
+                    digests.append(_digests(sets, begin))
+                    keys.append(_bands(sets, begin).view(np.int64))
+            if digests:
+                digest, first = np.unique(np.concatenate(digests), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[first].ravel()), pa.array(np.repeat(digest, BANDS))], names=["band", "digest"])
 
 
 def seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,16 +187,32 @@ _ANCHOR_TYPE = pa.list_(pa.struct([(k, pa.int32()) for k in ("at", "n", "top_at"
 _CHAIN_TYPE = pa.schema([("rid", pa.int64()), ("top", pa.int64()), *[(k, pa.int32()) for k in ("no", "lo", "hi", "tlo", "thi")], ("anchors", _ANCHOR_TYPE)])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, text, wanted spans -> the words of each, by their hashes."""
+def packed(w: np.ndarray) -> bytes:
+    """Word hashes as numbers of three bytes."""
+    return (w >> _U(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, text -> its words, packed."""
     shingler = Shingler(SHINGLE)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(shingler.word_hashes(t.as_py() or "")) for t in batch.column(1)], pa.binary())], names=["rid", "words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, words, wanted spans -> the words of each."""
     for batch in batches:
         for row in batch.to_pylist():
-            w = shingler.word_hashes(row["text"] or "").astype(np.uint32)
             for at in range(0, len(row["want"]), 1024):
                 some = row["want"][at : at + 1024]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["rid"]] * len(some), pa.int64()), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["hi"] for x in some], pa.int32()), pa.array([w[x["lo"] : x["hi"]].tobytes() for x in some], pa.binary())],
+                    [pa.array([row["rid"]] * len(some), pa.int64()), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["hi"] for x in some], pa.int32()), pa.array([row["words"][3 * x["lo"] : 3 * x["hi"]] for x in some], pa.binary())],
                     names=["rid", "lo", "hi", "words"],
                 )
 
@@ -228,7 +261,7 @@ def _extend(num: int, den: int):
             out = []
             for r in batch.to_pylist():
                 anchors = [(x["at"] - r["lo"], x["n"], x["top_at"] - r["tlo"], x["top_n"]) for x in r["anchors"]]
-                for lo, hi, tlo, thi in extend(np.frombuffer(r["words"], np.uint32), np.frombuffer(r["top_words"], np.uint32), anchors, num, den):
+                for lo, hi, tlo, thi in extend(unpacked(r["words"]), unpacked(r["top_words"]), anchors, num, den):
                     out.append((r["rid"], r["top"], lo + r["lo"], hi + r["lo"], tlo + r["tlo"], thi + r["tlo"]))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rid", "top", "lo", "hi", "tlo", "thi"])
@@ -244,21 +277,28 @@ def _merged(spans: DataFrame, by: list[str], *also) -> DataFrame:
     return opened.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *also).drop("__run")
 
 
+def piece_set(words: np.ndarray) -> np.ndarray:
+    """The ordered set of shingles of a paragraph's words."""
+    n = len(words) - SHINGLE + 1
+    acc = np.full(n, _U(SHINGLE))
+    for j in range(SHINGLE):
+        acc = mix64(acc * _U(0xA24BAED4963EE407) + words[j : n + j].astype(_U))
+    return np.unique(acc)
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, text, wanted places and digests -> digest, set as bytes."""
-    cutter = Cutter()
+    """words, wanted places and digests -> digest, set as bytes."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, _, sets, owner = cutter.cut(row["text"] or "")
-            at = [(w["digest"], sets[np.searchsorted(owner, w["idx"]) : np.searchsorted(owner, w["idx"], "right")].tobytes()) for w in row["want"]]
+            at = [(w["digest"], piece_set(unpacked(row["words"][3 * w["at"] : 3 * (w["at"] + w["n"])])).tobytes()) for w in row["want"]]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in at], pa.int64()), pa.array([s for _, s in at], pa.binary())], names=["digest", "items"])
 
 
 def _join(num: int, den: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values("digest")
-        sets = [np.frombuffer(x, _U) for x in rows["items"]]
-        return pd.DataFrame(join_chunk(rows["digest"].tolist(), sets, Scheme(num, den)), columns=["a", "b"], dtype="int64")
+    scheme = Scheme(num, den)
+
+    def run(digests: list[int], items: list[bytes]) -> list[tuple]:
+        return join_chunk(digests, [np.frombuffer(x, _U) for x in items], scheme)
 
     return run
 
@@ -266,36 +306,44 @@ def _join(num: int, den: int):
 def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """Spans of words of min_words or more: rid, doc_id, lo, hi, keep_id, removed. Those that go are apart from each other, and name the document whose copy stays; the first copies have no keep_id."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(numbered.mapInArrow(_paragraphs, _PARAGRAPHS), "paragraphs")
-    reps = found.groupBy("digest").agg(F.min(F.struct("rid", "idx")).alias("at"), F.first("bands").alias("bands"))
-    keys = reps.select("digest", "at", F.explode("bands").alias("band"))
+    found = saved(numbered.mapInArrow(_paragraphs, "rid bigint, doc_id bigint, at int, n int, digest bigint"), "paragraphs")
+    words = numbered.select("rid", "text").mapInArrow(_pack, "rid bigint, words binary")
+
+    # different paragraphs under one key
+    keys = numbered.select("text").mapInArrow(_band_keys, "band bigint, digest bigint").repartition("band").distinct()
     w = Window.partitionBy("band")
-    met = saved(keys.withColumns({"n": F.count(F.lit(1)).over(w), "i": F.row_number().over(w.orderBy("digest"))}).where("n > 1").select("band", "digest", "at", "n", F.floor((F.col("i") - 1) / block).cast("long").alias("c")), "met")
-    want = met.select("digest", "at").distinct().groupBy("at.rid").agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "digest")).alias("want"))
-    sets = saved(numbered.select("rid", "text").join(want, "rid").select("text", "want").mapInArrow(_wanted, "digest bigint, items binary"), "items")
+    met = saved(keys.withColumns({"n": F.count(F.lit(1)).over(w), "i": F.row_number().over(w.orderBy("digest"))}).where("n > 1").select("band", "digest", "n", F.floor((F.col("i") - 1) / block).cast("long").alias("c")), "met")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at", "n")
+    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).join(met.select("digest").distinct().withColumn("met", F.lit(True)), "digest", "left")
+    firsts = saved(firsts.where("size > 1 OR met"), "firsts")
+    places = firsts.where("met").select("digest", "top.rid", "top.at", "top.n")
+    want = places.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "digest")).alias("want"))
+    sets = saved(words.join(want.hint("merge"), "rid").select("words", "want").mapInArrow(_wanted, "digest bigint, items binary"), "items")
     # every pair of blocks of a bucket is a task; a bucket of one block is one task
     blocks = F.floor((F.col("n") - 1) / block).cast("long")
     tasks = met.select("band", "digest", "c", F.explode(F.sequence(F.lit(0).cast("long"), blocks)).alias("o")).select("band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "digest").distinct()
-    links = tasks.join(sets, "digest").groupBy("band", "c1", "c2").applyInPandas(_join(num, den), "a bigint, b bigint")
-    labels = components(saved(links.distinct(), "links"))
-    named = found.drop("bands").join(labels.select(F.col("id").alias("digest"), "component_id"), "digest", "left").withColumn("passage", F.coalesce("component_id", "digest"))
-    pieces = named.select("rid", "doc_id", "at", F.col("n_words").alias("n"), "passage")
-    words = saved(numbered.mapInArrow(_seeds, "rid bigint, doc_id bigint, at int, passage bigint"), "seeds").select("rid", "doc_id", "at", F.lit(SEED).alias("n"), "passage")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at", "n")
+    links = in_groups(tasks.join(sets, "digest"), ["band", "c1", "c2"], "digest", ["digest", "items"], _join(num, den), "a bigint, b bigint")
+    labels = components(saved(links.distinct(), "links")).select(F.col("id").alias("digest"), F.col("component_id").alias("passage"))
+
+    # anchors: repeats, each beside the first of its passage
+    seeded = saved(numbered.mapInArrow(_seeds, "rid bigint, doc_id bigint, at int, digest bigint").withColumn("n", F.lit(SEED)), "seeds")
+    linked = firsts.join(labels, "digest", "left")
+    first = linked.where("passage IS NOT NULL").groupBy("passage").agg(F.min("top").alias("first"))
+    passages = saved(linked.join(first, "passage", "left").where("size > 1 OR passage IS NOT NULL").select("digest", "size", F.coalesce("first", "top").alias("top")), "tops")
+    again = saved(seeded.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).where("size > 1"), "tops")
     anchors = []
-    for kind in (pieces, words):
-        groups = kind.groupBy("passage").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).where("size > 1").drop("size")
-        anchors.append(kind.join(groups, "passage").where("rid != top.rid OR at != top.at").select("rid", F.col("top.rid").alias("top"), F.struct("at", "n", F.col("top.at").alias("top_at"), F.col("top.n").alias("top_n")).alias("anchor")))
+    for rows, tops in ((found, passages), (seeded, again)):
+        held = join_hot(rows, tops.select("digest", "top"), ["digest"], sizes=tops.select("digest", "size"))
+        anchors.append(held.where("rid != top.rid OR at != top.at").select("rid", F.col("top.rid").alias("top"), F.struct("at", "n", F.col("top.at").alias("top_at"), F.col("top.n").alias("top_n")).alias("anchor")))
     chains = saved(anchors[0].union(anchors[1]).groupBy("rid", "top").agg(F.collect_list("anchor").alias("anchors")).mapInArrow(_chains, _CHAIN), "chains")
-    texts = numbered.select("rid", "text")
-
-    def windows(spans: DataFrame) -> DataFrame:
-        want = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("want"))
-        return texts.join(want, "rid").mapInArrow(_windows, "rid bigint, lo int, hi int, words binary")
 
-    own = windows(chains.select("rid", "lo", "hi"))
-    first = windows(chains.select(F.col("top").alias("rid"), F.col("tlo").alias("lo"), F.col("thi").alias("hi"))).toDF("top", "tlo", "thi", "top_words")
-    both = chains.join(own, ["rid", "lo", "hi"]).join(first, ["top", "tlo", "thi"]).select("rid", "top", "lo", "tlo", "anchors", "words", "top_words")
+    # the words around them, taken from both documents in one go
+    spans = chains.select("rid", "lo", "hi").union(chains.select("top", "tlo", "thi")).distinct()
+    want = spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("want"))
+    own = saved(words.join(want.hint("merge"), "rid").mapInArrow(_windows, "rid bigint, lo int, hi int, words binary"), "windows")
+    first = own.toDF("top", "tlo", "thi", "top_words")
+    copies = chains.groupBy("top", "tlo", "thi").agg(F.count(F.lit(1)).alias("size"))
+    both = join_hot(chains.join(own, ["rid", "lo", "hi"]), first, ["top", "tlo", "thi"], sizes=copies).select("rid", "top", "lo", "tlo", "anchors", "words", "top_words")
     spans = both.mapInArrow(_extend(num, den), "rid bigint, top bigint, lo bigint, hi bigint, tlo bigint, thi bigint")
     long_ = saved(_merged(spans, ["rid", "top"], F.collect_set(F.struct("tlo", "thi")).alias("tops")).where(F.col("hi") - F.col("lo") >= min_words), "spans")
     ids = numbered.select("rid", "doc_id")
