@@ -7,6 +7,7 @@ they cover the whole table. Rates are null where their denominator is 0. Every m
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,3 +186,47 @@ def paired_bootstrap(blocks: DataFrame, a: str, b: str, weight: str, rounds: int
     sums = keyed.mapInPandas(run, "round long, sa double, sb double, sw double").groupBy("round").agg(F.sum("sa").alias("sa"), F.sum("sb").alias("sb"), F.sum("sw").alias("sw"))
     d = sums.select((ratio("sa", "sw") - ratio("sb", "sw")).alias("d"))
     return d.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
+
+
+def hard_samples(records: DataFrame, slow: float) -> DataFrame:
+    """A row for each kind of difficulty of a record: fn, fp, class_mismatch (a hit that shares no class) and slow; kinds overlap."""
+    hit = F.col("expected") & F.col("predicted")
+    kinds = [
+        ("fn", F.col("expected") & ~F.col("predicted")), ("fp", ~F.col("expected") & F.col("predicted")),
+        ("class_mismatch", hit & ~F.arrays_overlap("expected_cwes", "model_cwes")), ("slow", F.col("elapsed") > slow),
+    ]
+    return records.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in kinds]))))
+
+
+def recall_monitor(checks: DataFrame) -> DataFrame:
+    """One row from (layer, hit): the miss rate and its interval from the random layer only; the tiers' rates are hit rates."""
+    n = lambda x, hit=False: F.count_if((F.col("layer") == x) & (F.col("hit") if hit else F.lit(True)))
+    sums = checks.agg(n("random").alias("n_random"), n("random", True).alias("hits_random"), *[f(k).alias(f"__{w}_{k}") for k in ("tier_a", "tier_b") for w, f in (("n", n), ("h", lambda x: n(x, True)))])
+    span = wilson("hits_random", "n_random")
+    return sums.select(
+        "n_random", "hits_random", F.round(ratio("hits_random", "n_random"), 4).alias("miss_rate"), span["low"].alias("low"), span["high"].alias("high"),
+        *[F.round(ratio(f"__h_{k}", f"__n_{k}"), 4).alias(f"{k}_hit_rate") for k in ("tier_a", "tier_b")],
+    )
+
+
+def bootstrap_rates(rows: DataFrame, by: list[str], hit: Column, rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """Rates of hits by group with a 95 % interval from resampling: by, n, hits, mean, low, high.
+
+    The hits of a resample of n rows with h hits are a binomial draw of n trials at h / n, so each group is resampled from its two counts.
+    Rows without a hit value don't count; a group without rows that do has null rates.
+    """
+    import numpy as np
+
+    @F.pandas_udf("struct<mean: double, low: double, high: double>")
+    def interval(n: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        out = []
+        for total, h in zip(n, hits, strict=True):
+            if not total:
+                out.append((None, None, None))
+                continue
+            draws = np.sort(np.random.default_rng([seed, int(total), int(h)]).binomial(int(total), h / total, rounds)) / total
+            out.append((h / total, draws[int(0.025 * rounds)], draws[int(0.975 * rounds)]))
+        return pd.DataFrame(out, columns=["mean", "low", "high"], dtype=float)
+
+    sums = rows.groupBy(*by).agg(F.count(hit).alias("n"), F.count_if(hit).alias("hits"))
+    return sums.withColumn("__i", interval("n", "hits")).select(*by, "n", "hits", "__i.mean", "__i.low", "__i.high")

@@ -72,7 +72,7 @@ w AS (SELECT doc_id, CASE WHEN none THEN body || 'no json' ELSE body END AS body
   len(regexp_extract_all(body, '{G.POSITIVE}')) AS pos, len(regexp_extract_all(body, '{G.NEGATIVE}')) AS neg, regexp_extract_all(body, '(CWE-[0-9]+)', 1) AS ms FROM v)
 SELECT doc_id, array_to_string(list_filter([{', '.join([
     _issue('FATAL_no_json', 'none'), _issue('FATAL_no_verdict', "hv IS NULL OR hv NOT IN ('true', 'false')"), _issue('FATAL_bad_risk', "risk NOT IN ('Critical','High','Medium','Low','None')"),
-    _issue('teacher_leak', f"regexp_matches(body, '{G.LEAK_WORDS}')"), _issue('meta_comment', f"regexp_matches(body, '{G.META_WORDS}')"), _issue('hedged', f"regexp_matches(body, '{'|'.join(G.HEDGES)}')"), _issue('class_not_argued', "NOT list_contains(ms, cwe) AND len(ms) >= 2"),
+    _issue('teacher_leak', f"regexp_matches(body, '{_sqlre(G.LEAK_WORDS)}')"), _issue('meta_comment', f"regexp_matches(body, '{G.META_WORDS}')"), _issue('hedged', f"regexp_matches(body, '{'|'.join(G.HEDGES)}')"), _issue('class_not_argued', "NOT list_contains(ms, cwe) AND len(ms) >= 2"),
     _issue('stance_conflict', "(hv = 'true' AND neg > pos) OR (hv = 'false' AND pos > neg)"), _issue('vuln_without_source', "hv = 'true' AND regexp_matches(trim(src), '(?i)^(无|未发现|不存在|没有|N/A)')"),
     _issue('safe_but_risky_words', f"hv = 'false' AND regexp_matches(expl || ' s', '{G.RISKY}')"), _issue('vuln_but_safe_words', f"hv = 'true' AND regexp_matches(expl, '{G.SAFE}')"), _issue('safe_fix_not_na', "hv = 'false' AND fix <> 'no fix needed'"), _issue('fix_without_line', "hv = 'true' AND NOT regexp_matches(fix, 'line *[0-9]+')")])}], lambda x: x IS NOT NULL), ',') AS issues FROM w"""
 
