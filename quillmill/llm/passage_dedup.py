@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs at line ends and, inside lines, before words whose hash is the least among the
 REACH words on either side: a passage is cut alike wherever it stands, whatever surrounds it. A paragraph's set is that
-of its five-word shingles; those with fewer words are never repeats by themselves.
+of its five-word shingles (its digest tells equal sequences of them apart as well); those with fewer words are never repeats by themselves.
 
 1. A paragraph gets BANDS keys, each of ROWS minima of hashed shingles. Two of a Jaccard similarity of 0.8 share a key
    with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998 as set. Only the digest of a paragraph goes with its keys, once for
@@ -49,6 +49,25 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def runs_of(w: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k successive words."""
+    acc = np.full(max(0, len(w) - k + 1), _U(k))
+    for j in range(k):
+        acc *= _U(0xA24BAED4963EE407)
+        acc += w[j : len(w) - k + 1 + j]
+    return mix64(acc)
+
+
+def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or largest of each `width` successive numbers, by windows that double."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[:-step], x[step:])
+        done += step
+    return x
+
+
 class Cutter:
     """Paragraphs of texts: byte spans, numbers of words, and shingles with the paragraph each belongs to."""
 
@@ -56,7 +75,7 @@ class Cutter:
         self.shingler = Shingler(SHINGLE)
 
     def cut(self, text: str) -> tuple[np.ndarray, ...]:
-        """First byte and number of words of each paragraph; distinct shingles in order of (paragraph, shingle), and their paragraphs."""
+        """First byte and number of words of each paragraph; the shingles inside paragraphs, in order, and the paragraphs they belong to."""
         w = self.shingler.word_hashes(text)
         n = len(w)
         if not n:
@@ -67,23 +86,17 @@ class Cutter:
         starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
         line = np.cumsum(b == 10)[starts]
         padded = np.concatenate([np.full(REACH, ~_U(0)), w, np.full(REACH, ~_U(0))])
-        least = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1).min(1)
+        least = sliding(padded, 2 * REACH + 1, np.minimum)
         opens = (w == least) | (np.diff(line, prepend=-1) != 0)
         opens[0] = True
         first = np.flatnonzero(opens)
         size = np.diff(np.append(first, n))
         if n < SHINGLE:
             return starts[first], size, np.zeros(0, _U), np.zeros(0, np.int64)
-        acc = np.full(n - SHINGLE + 1, _U(SHINGLE))
-        for j in range(SHINGLE):
-            acc = mix64(acc * _U(0xA24BAED4963EE407) + w[j : n - SHINGLE + 1 + j])
+        acc = runs_of(w, SHINGLE)
         owner = np.cumsum(opens) - 1
         inside = owner[: n - SHINGLE + 1] == owner[SHINGLE - 1 :]
-        acc, owner = acc[inside], owner[: n - SHINGLE + 1][inside]
-        order = np.lexsort((acc, owner))
-        acc, owner = acc[order], owner[order]
-        new = np.concatenate([[True], (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])]) if len(acc) else np.zeros(0, bool)
-        return starts[first], size, acc[new], owner[new]
+        return starts[first], size, acc[inside], owner[: n - SHINGLE + 1][inside]
 
 
 def _bands(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -143,13 +156,13 @@ def seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(w) - SEED + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    acc = np.full(n, _U(SEED))
-    for j in range(SEED):
-        acc = mix64(acc * _U(0xA24BAED4963EE407) + w[j : n + j])
+    acc = runs_of(w, SEED)
     if n <= WINNOW:
         at = np.array([acc.argmin()])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(acc, WINNOW).argmin(1) + np.arange(n - WINNOW + 1))
+    else:  # the least of a window is the largest of the leasts of all windows that hold it
+        least = sliding(acc, WINNOW, np.minimum)
+        edge = np.zeros(WINNOW - 1, _U)
+        at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), WINNOW, np.maximum) == acc)
     return at, acc[at]
 
 
@@ -279,11 +292,7 @@ def _merged(spans: DataFrame, by: list[str], *also) -> DataFrame:
 
 def piece_set(words: np.ndarray) -> np.ndarray:
     """The ordered set of shingles of a paragraph's words."""
-    n = len(words) - SHINGLE + 1
-    acc = np.full(n, _U(SHINGLE))
-    for j in range(SHINGLE):
-        acc = mix64(acc * _U(0xA24BAED4963EE407) + words[j : n + j].astype(_U))
-    return np.unique(acc)
+    return np.unique(runs_of(words.astype(_U), SHINGLE))
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
