@@ -14,13 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share, from spark.checkpoint.dir or the session's checkpoint folder.
 
-    Only where that setting is absent, as in local tests, a temporary folder is used.
+    Where neither is set, a local session gets a temporary folder, and a cluster an error: its executors would write to disks of their own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("spark.quillmill.shared.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.quillmill.shared.dir", found)
@@ -40,6 +44,14 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 HOT = 1000
 
 

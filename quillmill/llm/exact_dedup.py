@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, saved
+from .common import free, join_hot, saved
 
 BLOCK_CHARS = 4096
 BUCKETS = 1 << 16
@@ -100,6 +100,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs must be a table or a written intermediate: its rows are numbered by position twice, once to
     name them and once to pick the rows that stay.
     """
-    tag = "__quillmill_rid"
+    tag = free(docs, "__quillmill_rid")
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("rid").alias(tag))
     return docs.withColumn(tag, F.monotonically_increasing_id()).join(kept, tag, "left_semi").drop(tag)

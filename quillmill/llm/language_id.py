@@ -16,15 +16,16 @@ repeated rows are predicted alike; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
+from .common import free
 
 SEGMENT = 64
 UNITS = 12
@@ -37,7 +38,7 @@ UNKNOWN = "und"
 #: keep_known drops documents whose best language scores less.
 MIN_SCORE = 0.35
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 PAD = 256
 
 
@@ -166,5 +167,6 @@ def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray] | No
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows that no learned language fits: `und`, or a best score under min_score."""
     langs, model = fit(docs)
-    good = predict(docs, langs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(F.col("rid").alias("__quillmill_rid"))
-    return docs.withColumn("__quillmill_rid", F.monotonically_increasing_id()).join(good, "__quillmill_rid", "left_semi").drop("__quillmill_rid")
+    tag = free(docs, "__quillmill_rid")
+    good = predict(docs, langs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(F.col("rid").alias(tag))
+    return docs.withColumn(tag, F.monotonically_increasing_id()).join(good, tag, "left_semi").drop(tag)

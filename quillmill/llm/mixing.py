@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 CHUNK_RATE = 16.0
 #: P(X > MAX_STEP) is below 2^-52 for a mean of CHUNK_RATE: no draw reaches it.
 MAX_STEP = 72
@@ -76,10 +78,11 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, total: fl
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with each row repeated as drawn, globally shuffled; adds n_copies, copy (from 0) and shuffle_key."""
-    rate = rates(docs, weights, total, source_col).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = docs.join(rate, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "left")
+    name, mean = free(docs, "__source"), free(docs, "__rate")
+    rate = rates(docs, weights, total, source_col).select(F.col("source").alias(name), F.col("rate").alias(mean))
+    joined = docs.join(rate, F.col(f"`{source_col}`").eqNullSafe(F.col(name)), "left")
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    drawn = joined.withColumn("n_copies", copies(key, F.coalesce("__rate", F.lit(0.0)), seed)).drop("__source", "__rate").where("n_copies > 0")
+    drawn = joined.withColumn("n_copies", copies(key, F.coalesce(mean, F.lit(0.0)), seed)).drop(name, mean).where("n_copies > 0")
     many = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     dealt = many.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("deal"), key, F.col("copy").cast("string")).cast("binary")))
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, saved
+from .common import components, free, join_hot, saved
 
 #: Bound on a chunk: the sum over its sets of their sizes and DOC_WEIGHT.
 CHUNK_WEIGHT = 600_000
@@ -466,6 +466,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
 def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row left of each component: that of the smallest id, then position. Rows without words stay."""
+    tag = free(docs, "__quillmill_rid")
     found = similarity_components(docs, k, num, den, id_col, text_col)
-    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("__quillmill_rid"))
-    return docs.withColumn("__quillmill_rid", F.monotonically_increasing_id()).join(stays, "__quillmill_rid", "left_semi").drop("__quillmill_rid")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(tag))
+    return docs.withColumn(tag, F.monotonically_increasing_id()).join(stays, tag, "left_semi").drop(tag)

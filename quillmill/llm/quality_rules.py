@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 WINDOW = 5
 GAMMA = 1.02
 MIN_GROUP = 100
 FENCE = 6.0
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Least distance of a fence from its quartile, by metric (parts per million; for word_len, thousandths of a character).
 FLOORS = {"symbol_ppm": 50_000, "dup_line_ppm": 400_000, "repeat_ppm": 150_000, "word_len": 1_500}
 
@@ -64,7 +65,7 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, all but the last long.
+    """docs, without columns of these names, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, all but the last long.
 
     Words are runs of characters other than ASCII white space.
     """
@@ -87,15 +88,18 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(n.cast("long").alias("n_words"), _let(hashes, _repeat_words).alias("n_repeat_words"))
 
     spaces = F.length(F.translate(flat, " ", ""))
-    out = docs.withColumn("__c", _let(words, counts)).withColumn("__l", lines)
+    own = {x.lower() for x in (*COUNTS, "n_lines", "base_failed")}
+    docs = docs.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in own])
+    c, ls = free(docs, "__c"), free(docs, "__l")
+    out = docs.withColumn(c, _let(words, counts)).withColumn(ls, lines)
     out = out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
-        F.col("__c.n_words").alias("n_words"),
+        *[F.col(f"`{x}`") for x in docs.columns],
+        F.col(f"{c}.n_words").alias("n_words"),
         spaces.cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.col("__c.n_repeat_words").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        F.col(f"{c}.n_repeat_words").alias("n_repeat_words"),
+        F.size(ls).cast("long").alias("n_lines"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
@@ -169,3 +173,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id, lang, source, counts, base_failed and kept."""
     counted = features(docs.select(F.col(f"`{id_col}`").alias("doc_id"), "lang", "source", "text")).drop("text")
     return judge(saved(counted, "counts"))
+
+
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, all their columns untouched. docs must be a table or a written intermediate: its rows are numbered by position twice."""
+    tag = free(docs, "__quillmill_rid")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "lang", "source", "text")
+    good = judge(saved(features(rows).drop("text"), "counts")).where("kept").select(F.col("rid").alias(tag))
+    return docs.withColumn(tag, F.monotonically_increasing_id()).join(good, tag, "left_semi").drop(tag)

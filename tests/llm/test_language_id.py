@@ -84,3 +84,7 @@ def test_no_labels(spark):
     assert langs == [] and model is None
     assert {r.lang_pred for r in L.predict(docs(spark), langs, model).collect()} == {"und"}
     assert L.predict(spark.createDataFrame([], DOCS), langs, model).count() == 0
+
+
+def test_numbers_in_letter_form_are_no_letters():
+    assert not any(L._LETTER.search(x) for x in ("½", "²", "Ⅷ", "①", "_9")) and L._LETTER.search("9é")

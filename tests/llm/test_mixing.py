@@ -49,3 +49,9 @@ def test_null_source_weight_zero_and_empty_table(spark):
     assert M.mix(docs(spark), {"nobody": 1.0}).count() == 0
     assert M.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert "extra" in M.mix(docs(spark).withColumn("extra", F.lit(1)).withColumn("copy", F.lit(9))).columns
+
+
+def test_clashing_names(spark):
+    df = docs(spark).withColumns({c: F.lit("mine") for c in ("__rate", "__source", "rate", "w")})
+    out = M.mix(df)
+    assert set(df.columns) <= set(out.columns) and all(r["__rate"] == r["__source"] == "mine" for r in out.collect())

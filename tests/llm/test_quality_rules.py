@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import quality_rules as Q
 
-from .helpers import AWKWARD, DOCS, docs
+from .helpers import AWKWARD, DOCS, docs, stored
 
 
 def counts(text):
@@ -58,3 +58,13 @@ def test_awkward_rows_and_empty_table(spark):
     assert len(out) == len(AWKWARD) and all(r.kept is not None for r in out)
     assert not any(r.kept for r in out if r.doc_id in (3, 4, 5, 8))
     assert Q.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_filter_keeps_rows_as_they_are(spark, tmp_path):
+    rows = [(i, f"word{i} " * 3 + " ".join(f"w{j * i % 53}x{j}" for j in range(30)), "en", "a") for i in range(20)] + AWKWARD
+    df = stored(spark, tmp_path, docs(spark, rows)).withColumns({c: F.lit("mine") for c in ("n_lines", "__c", "__l", "n_words", "__quillmill_rid", "kept", "rid")})
+    kept = Q.quality_filter(df)
+    assert kept.columns == df.columns
+    verdicts = Q.quality_rules(df).where("kept").collect()
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in verdicts) and verdicts
+    assert all(r.n_lines == r["__c"] == "mine" for r in kept.collect())
