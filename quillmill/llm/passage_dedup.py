@@ -74,9 +74,9 @@ class Cutter:
     def __init__(self) -> None:
         self.shingler = Shingler(SHINGLE)
 
-    def cut(self, text: str) -> tuple[np.ndarray, ...]:
+    def cut(self, text: str, w: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """First byte and number of words of each paragraph; the shingles inside paragraphs, in order, and the paragraphs they belong to."""
-        w = self.shingler.word_hashes(text)
+        w = self.shingler.word_hashes(text) if w is None else w
         n = len(w)
         if not n:
             none = np.zeros(0, np.int64)
@@ -113,25 +113,29 @@ def _digests(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix64(sums + np.diff(np.append(begin, len(sets))).astype(_U)).view(np.int64)
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, text -> its paragraphs with a set: first word, number of words, digest of the set."""
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, doc_id, text -> its paragraphs with a set, and its seeds: first word, number of words, digest."""
     cutter = Cutter()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            rows, cols = [], [[], [], []]
+            rows, cols = [], [[], [], [], []]
             for i, text in enumerate(some.column(2)):
-                _, size, sets, owner = cutter.cut(text.as_py() or "")
-                if not len(sets):
-                    continue
-                idx, begin = np.unique(owner, return_index=True)
-                rows.append(np.full(len(idx), i))
-                for c, v in zip(cols, ((np.cumsum(size) - size)[idx], size[idx], _digests(sets, begin)), strict=True):
-                    c.append(v)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                first, size, digest = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(digest)], names=["rid", "doc_id", "at", "n", "digest"])
+                text = text.as_py() or ""
+                w = cutter.shingler.word_hashes(text)
+                _, size, sets, owner = cutter.cut(text, w)
+                first, digest = seeds(w)
+                found = [(first, np.full(len(first), SEED), digest.view(np.int64), np.ones(len(first), bool))]
+                if len(sets):
+                    idx, begin = np.unique(owner, return_index=True)
+                    found.append(((np.cumsum(size) - size)[idx], size[idx], _digests(sets, begin), np.zeros(len(idx), bool)))
+                for values in found:
+                    rows.append(np.full(len(values[0]), i))
+                    for c, v in zip(cols, values, strict=True):
+                        c.append(v)
+            take = pa.array(np.concatenate(rows))
+            first, size, digest, seed = (np.concatenate(c) for c in cols)
+            yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(digest), pa.array(seed)], names=["rid", "doc_id", "at", "n", "digest", "seed"])
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +170,6 @@ def seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, acc[at]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler(SHINGLE)
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            some = batch.slice(start, 256)
-            found = [seeds(shingler.word_hashes(text.as_py() or "")) for text in some.column(2)]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
-            yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(np.concatenate([at for at, _ in found]), pa.int32()), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["rid", "doc_id", "at", "passage"])
-
-
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, top, anchors of the two -> a row for each chain of anchors on one diagonal, with the windows around it."""
     for batch in batches:
@@ -258,8 +252,10 @@ def extend(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int, int]
     for at, n, top_at, top_n in anchors:
         if out and out[-1][0] <= at and at + n <= out[-1][1] and out[-1][2] <= top_at and top_at + top_n <= out[-1][3]:
             continue
-        runs = {b[j : j + SHINGLE].tobytes(): j for j in range(top_at + top_n - SHINGLE, top_at - 1, -1)}
-        at_, top_ = next(((i, runs[r]) for i in range(at, at + n - SHINGLE + 1) if (r := a[i : i + SHINGLE].tobytes()) in runs), (None, None))
+        at_, top_ = at, top_at
+        if n != top_n or (a[at : at + n] != b[top_at : top_at + n]).any():  # the first words that both have in a row
+            runs = {b[j : j + SHINGLE].tobytes(): j for j in range(top_at + top_n - SHINGLE, top_at - 1, -1)}
+            at_, top_ = next(((i, runs[r]) for i in range(at, at + n - SHINGLE + 1) if (r := a[i : i + SHINGLE].tobytes()) in runs), (None, None))
         if at_ is None:
             continue
         right, top_right = grow(a[at_:], b[top_:], num, den)
@@ -315,7 +311,8 @@ def _join(num: int, den: int):
 def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """Spans of words of min_words or more: rid, doc_id, lo, hi, keep_id, removed. Those that go are apart from each other, and name the document whose copy stays; the first copies have no keep_id."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(numbered.mapInArrow(_paragraphs, "rid bigint, doc_id bigint, at int, n int, digest bigint"), "paragraphs")
+    places = saved(numbered.mapInArrow(_anchors, "rid bigint, doc_id bigint, at int, n int, digest bigint, seed boolean"), "places")
+    found, seeded = places.where("NOT seed").drop("seed"), places.where("seed").drop("seed")
     words = numbered.select("rid", "text").mapInArrow(_pack, "rid bigint, words binary")
 
     # different paragraphs under one key
@@ -325,8 +322,7 @@ def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_i
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at", "n")
     firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("top")).join(met.select("digest").distinct().withColumn("met", F.lit(True)), "digest", "left")
     firsts = saved(firsts.where("size > 1 OR met"), "firsts")
-    places = firsts.where("met").select("digest", "top.rid", "top.at", "top.n")
-    want = places.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "digest")).alias("want"))
+    want = firsts.where("met").select("digest", "top.rid", "top.at", "top.n").groupBy("rid").agg(F.collect_list(F.struct("at", "n", "digest")).alias("want"))
     sets = saved(words.join(want.hint("merge"), "rid").select("words", "want").mapInArrow(_wanted, "digest bigint, items binary"), "items")
     # every pair of blocks of a bucket is a task; a bucket of one block is one task
     blocks = F.floor((F.col("n") - 1) / block).cast("long")
@@ -335,7 +331,6 @@ def repeats(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_i
     labels = components(saved(links.distinct(), "links")).select(F.col("id").alias("digest"), F.col("component_id").alias("passage"))
 
     # anchors: repeats, each beside the first of its passage
-    seeded = saved(numbered.mapInArrow(_seeds, "rid bigint, doc_id bigint, at int, digest bigint").withColumn("n", F.lit(SEED)), "seeds")
     linked = firsts.join(labels, "digest", "left")
     first = linked.where("passage IS NOT NULL").groupBy("passage").agg(F.min("top").alias("first"))
     passages = saved(linked.join(first, "passage", "left").where("size > 1 OR passage IS NOT NULL").select("digest", "size", F.coalesce("first", "top").alias("top")), "tops")
