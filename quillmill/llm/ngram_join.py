@@ -64,20 +64,24 @@ class Shingler:
         self.k = k
         self.powers = np.cumprod(np.full(1 << 12, _POWER, _U), dtype=_U)
 
-    def word_hashes(self, text: str) -> np.ndarray:
-        b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    def located(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and hashes of the words of a text in UTF-8."""
+        b = np.frombuffer(data.lower(), np.uint8)
         word = ~_SPACE[b]
         edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
         starts = np.flatnonzero(edge == 1)
         if not len(starts):
-            return np.zeros(0, _U)
+            return starts, np.zeros(0, _U)
         lens = np.flatnonzero(edge == -1) - starts
         first = np.concatenate([[0], np.cumsum(lens)[:-1]])
         within = np.arange(int(lens.sum())) - np.repeat(first, lens)
         while len(self.powers) <= int(lens.max()):
             self.powers = np.cumprod(np.full(2 * len(self.powers), _POWER, _U), dtype=_U)
         sums = np.add.reduceat((b[word].astype(_U) + _U(1)) * self.powers[within], first)
-        return mix64(sums + lens.astype(_U) * _U(0xD6E8FEB86659FD93))
+        return starts, mix64(sums + lens.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        return self.located(text.encode("utf-8", "surrogatepass"))[1]
 
     def ordered_set(self, text: str | None) -> np.ndarray:
         w = self.word_hashes(text or "")

@@ -42,6 +42,8 @@ BLOCK = 2000
 SEED, WINNOW = 10, 16
 WINDOW = 64
 EDIT = 3
+#: Texts are cut together up to so many bytes.
+TOGETHER = 1 << 17
 
 _U = np.uint64
 _SALTS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -68,35 +70,58 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return x
 
 
+def together(texts: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in UTF-8, in lists of some `most` bytes (a longer text alone), each with the place of its first."""
+    some, size, at = [], 0, 0
+    for i, text in enumerate(texts):
+        data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        if some and size + len(data) > most:
+            yield at, some
+            some, size, at = [], 0, i
+        some.append(data)
+        size += len(data)
+    if some:
+        yield at, some
+
+
 class Cutter:
-    """Paragraphs of texts: byte spans, numbers of words, and shingles with the paragraph each belongs to."""
+    """Words, paragraphs and seeds of several texts at once, each cut as if it stood alone."""
 
     def __init__(self) -> None:
         self.shingler = Shingler(SHINGLE)
 
-    def cut(self, text: str, w: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """First byte and number of words of each paragraph; the shingles inside paragraphs, in order, and the paragraphs they belong to."""
-        w = self.shingler.word_hashes(text) if w is None else w
+    def words(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as lines, first byte and hash of each word, and the first word of each text, with the number of words at the end."""
+        data = b"\n".join(texts)
+        starts, w = self.shingler.located(data)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return data, starts, w, np.concatenate([[0], np.searchsorted(starts, ends)])
+
+    def paragraphs(self, data: bytes, starts: np.ndarray, w: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First word of each paragraph; the shingles inside paragraphs, in order, and the paragraphs they belong to."""
         n = len(w)
-        if not n:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, _U), none
-        b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        word = ~_WHITE[b]
-        starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-        line = np.cumsum(b == 10)[starts]
-        padded = np.concatenate([np.full(REACH, ~_U(0)), w, np.full(REACH, ~_U(0))])
-        least = sliding(padded, 2 * REACH + 1, np.minimum)
-        opens = (w == least) | (np.diff(line, prepend=-1) != 0)
-        opens[0] = True
-        first = np.flatnonzero(opens)
-        size = np.diff(np.append(first, n))
-        if n < SHINGLE:
-            return starts[first], size, np.zeros(0, _U), np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(head) - 1), np.diff(head))
+        padded = np.full(n + REACH * len(head), ~_U(0))
+        padded[np.arange(n) + REACH * (text + 1)] = w
+        opens = w == sliding(padded, 2 * REACH + 1, np.minimum)[np.arange(n) + REACH * text]
+        after = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
+        opens[after[after < n]] = True
+        opens[:1] = True
         acc = runs_of(w, SHINGLE)
         owner = np.cumsum(opens) - 1
-        inside = owner[: n - SHINGLE + 1] == owner[SHINGLE - 1 :]
-        return starts[first], size, acc[inside], owner[: n - SHINGLE + 1][inside]
+        inside = owner[: len(acc)] == owner[n - len(acc) :]
+        return np.flatnonzero(opens), acc[inside], owner[: len(acc)][inside]
+
+    def cut(self, text: str) -> tuple[np.ndarray, ...]:
+        """First byte and number of words of each paragraph of a text; the shingles inside paragraphs, in order, and the paragraphs they belong to."""
+        data, starts, w, head = self.words([text.encode("utf-8", "surrogatepass")])
+        first, sets, owner = self.paragraphs(data, starts, w, head)
+        return starts[first], np.diff(np.append(first, len(w))), sets, owner
+
+
+def _begins(owner: np.ndarray) -> np.ndarray:
+    """Where the shingles of a paragraph begin."""
+    return np.flatnonzero(np.diff(owner, prepend=-1))
 
 
 def _bands(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -117,57 +142,59 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, doc_id, text -> its paragraphs with a set, and its seeds: first word, number of words, digest."""
     cutter = Cutter()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            rows, cols = [], [[], [], [], []]
-            for i, text in enumerate(some.column(2)):
-                text = text.as_py() or ""
-                w = cutter.shingler.word_hashes(text)
-                _, size, sets, owner = cutter.cut(text, w)
-                first, digest = seeds(w)
-                found = [(first, np.full(len(first), SEED), digest.view(np.int64), np.ones(len(first), bool))]
-                if len(sets):
-                    idx, begin = np.unique(owner, return_index=True)
-                    found.append(((np.cumsum(size) - size)[idx], size[idx], _digests(sets, begin), np.zeros(len(idx), bool)))
-                for values in found:
-                    rows.append(np.full(len(values[0]), i))
-                    for c, v in zip(cols, values, strict=True):
-                        c.append(v)
-            take = pa.array(np.concatenate(rows))
-            first, size, digest, seed = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(digest), pa.array(seed)], names=["rid", "doc_id", "at", "n", "digest", "seed"])
+        for at, texts in together(batch.column(2)):
+            data, starts, w, head = cutter.words(texts)
+            if not len(w):
+                continue
+            first, digest = seeds(w, head)
+            cut, sets, owner = cutter.paragraphs(data, starts, w, head)
+            begin = _begins(owner)
+            own = owner[begin]
+            size = np.concatenate([np.full(len(first), SEED), np.diff(np.append(cut, len(w)))[own]])
+            digests = np.concatenate([digest.view(np.int64), _digests(sets, begin)])
+            seed = np.arange(len(size)) < len(first)
+            first = np.concatenate([first, cut[own]])
+            text = np.searchsorted(head, first, "right") - 1
+            take = pa.array(text + at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(first - head[text], pa.int32()), pa.array(size, pa.int32()), pa.array(digests), pa.array(seed)],
+                names=["rid", "doc_id", "at", "n", "digest", "seed"],
+            )
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> band keys and digests of its paragraphs, once for equal ones of a batch."""
+    """text -> band keys and digests of its paragraphs, once for equal ones of a list of texts."""
     cutter = Cutter()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            digests, keys = [], []
-            for text in batch.column(0).slice(at, 1024):
-                *_, sets, owner = cutter.cut(text.as_py() or "")
-                if len(sets):
-                    begin = np.unique(owner, return_index=True)[1]
-                    digests.append(_digests(sets, begin))
-                    keys.append(_bands(sets, begin).view(np.int64))
-            if digests:
-                digest, first = np.unique(np.concatenate(digests), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[first].ravel()), pa.array(np.repeat(digest, BANDS))], names=["band", "digest"])
-
-
-def seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the seeds of a text of word hashes w."""
-    n = len(w) - SEED + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    acc = runs_of(w, SEED)
-    if n <= WINNOW:
-        at = np.array([acc.argmin()])
-    else:  # the least of a window is the largest of the leasts of all windows that hold it
-        least = sliding(acc, WINNOW, np.minimum)
-        edge = np.zeros(WINNOW - 1, _U)
-        at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), WINNOW, np.maximum) == acc)
-    return at, acc[at]
+        for _, texts in together(batch.column(0)):
+            _, sets, owner = cutter.paragraphs(*cutter.words(texts))
+            if len(sets):
+                begin = _begins(owner)
+                digest, first = np.unique(_digests(sets, begin), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_bands(sets, begin)[first].view(np.int64).ravel()), pa.array(np.repeat(digest, BANDS))], names=["band", "digest"])
+
+
+def seeds(w: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the seeds of texts of word hashes w that lie one behind another, `head` as in Cutter.words."""
+    size = np.maximum(np.diff(head) - SEED + 1, 0)
+    text = np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(size)
+    k = np.arange(len(text))
+    at = head[text] + k - (end - size)[text]
+    acc = runs_of(w, SEED)[at]
+    # texts stand WINNOW - 1 places apart; a text of fewer runs than a window is one window
+    gap = WINNOW - 1
+    place = k + gap * (text + 1)
+    padded = np.full(len(k) + gap * (len(size) + 1), ~_U(0))
+    padded[place] = acc
+    window = place[(k + gap < end[text]) | (k == (end - size)[text])]
+    least = np.zeros(len(padded), _U)
+    least[window] = sliding(padded, WINNOW, np.minimum)[window]
+    # the least of a window is the largest of the leasts of all windows that hold it
+    chosen = np.flatnonzero(sliding(least, WINNOW, np.maximum)[place - gap] == acc)
+    again = np.diff(text[chosen], prepend=-1) == 0
+    chosen = chosen[~again | (size[text[chosen]] > WINNOW)]
+    return at[chosen], acc[chosen]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +234,46 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, text -> its words, packed."""
-    shingler = Shingler(SHINGLE)
+    cutter = Cutter()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(shingler.word_hashes(t.as_py() or "")) for t in batch.column(1)], pa.binary())], names=["rid", "words"])
+        for at, texts in together(batch.column(1)):
+            *_, w, head = cutter.words(texts)
+            data, to = packed(w), (3 * head).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([data[a:b] for a, b in zip(to, to[1:], strict=False)], pa.binary())], names=["rid", "words"])
+
+
+def _flushed(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows whose last value is binary, in record batches of some `most` bytes of it."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[-1])
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
+_WINDOW_TYPE = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("words", pa.binary())])
+_ITEMS_TYPE = pa.schema([("digest", pa.int64()), ("items", pa.binary())])
+
+
+def _wants(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The first columns of each row and, one by one, what it wants: the named values of the structs in its last column."""
+    for batch in batches:
+        *own, want = batch.columns
+        ends = want.offsets.to_pylist()
+        flat = list(zip(*(want.values.field(n).to_pylist() for n in names), strict=True))
+        for i in range(batch.num_rows):
+            row = [c[i].as_py() for c in own]
+            for w in flat[ends[i] : ends[i + 1]]:
+                yield *row, *w
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, words, wanted spans -> the words of each."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            for at in range(0, len(row["want"]), 1024):
-                some = row["want"][at : at + 1024]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["rid"]] * len(some), pa.int64()), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["hi"] for x in some], pa.int32()), pa.array([row["words"][3 * x["lo"] : 3 * x["hi"]] for x in some], pa.binary())],
-                    names=["rid", "lo", "hi", "words"],
-                )
+    return _flushed(((rid, lo, hi, words[3 * lo : 3 * hi]) for rid, words, lo, hi in _wants(batches, "lo", "hi")), _WINDOW_TYPE)
 
 
 _STEPS = sorted(((e, f) for e in range(EDIT + 1) for f in range(EDIT + 1) if e or f), key=lambda x: (max(x), sum(x)))
@@ -231,6 +283,8 @@ def grow(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[int, int]:
     """Lengths of the longest beginnings of a and b that align word by word, aligned words being num / den of all or more at each stretch's end."""
     i = j = same = 0
     best = (0, 0)
+    x = y = b""
+    wide, run = a.itemsize, EDIT * a.itemsize
     while True:
         n = min(len(a) - i, len(b) - j)
         eq = a[i : i + n] == b[j : j + n]
@@ -238,8 +292,11 @@ def grow(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[int, int]:
         i, j, same = i + k, j + k, same + k
         if same and den * same >= num * (i + j - same):
             best = (i, j)
+        if k < n and not x:  # short runs are compared as bytes
+            x, y = a.tobytes(), b.tobytes()
         for e, f in _STEPS if k < n else ():
-            if i + e + EDIT <= len(a) and j + f + EDIT <= len(b) and (a[i + e : i + e + EDIT] == b[j + f : j + f + EDIT]).all():
+            p, q = wide * (i + e), wide * (j + f)
+            if p + run <= len(x) and q + run <= len(y) and x[p : p + run] == y[q : q + run]:
                 i, j = i + e, j + f
                 break
         else:
@@ -268,10 +325,13 @@ def _extend(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                anchors = [(x["at"] - r["lo"], x["n"], x["top_at"] - r["tlo"], x["top_n"]) for x in r["anchors"]]
-                for lo, hi, tlo, thi in extend(unpacked(r["words"]), unpacked(r["top_words"]), anchors, num, den):
-                    out.append((r["rid"], r["top"], lo + r["lo"], hi + r["lo"], tlo + r["tlo"], thi + r["tlo"]))
+            ends = batch.column("anchors").offsets.to_pylist()
+            flat = list(zip(*(batch.column("anchors").values.field(c).to_pylist() for c in ("at", "n", "top_at", "top_n")), strict=True))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "top", "lo", "tlo", "words", "top_words")), strict=True)
+            for i, (rid, top, own_lo, own_tlo, words, top_words) in enumerate(rows):
+                anchors = [(at - own_lo, n, top_at - own_tlo, top_n) for at, n, top_at, top_n in flat[ends[i] : ends[i + 1]]]
+                for lo, hi, tlo, thi in extend(unpacked(words), unpacked(top_words), anchors, num, den):
+                    out.append((rid, top, lo + own_lo, hi + own_lo, tlo + own_tlo, thi + own_tlo))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rid", "top", "lo", "hi", "tlo", "thi"])
 
@@ -293,10 +353,7 @@ def piece_set(words: np.ndarray) -> np.ndarray:
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """words, wanted places and digests -> digest, set as bytes."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            at = [(w["digest"], piece_set(unpacked(row["words"][3 * w["at"] : 3 * (w["at"] + w["n"])])).tobytes()) for w in row["want"]]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in at], pa.int64()), pa.array([s for _, s in at], pa.binary())], names=["digest", "items"])
+    return _flushed(((digest, piece_set(unpacked(words[3 * at : 3 * (at + n)])).tobytes()) for words, at, n, digest in _wants(batches, "at", "n", "digest")), _ITEMS_TYPE)
 
 
 def _join(num: int, den: int):
