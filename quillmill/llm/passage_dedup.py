@@ -346,14 +346,17 @@ def _merged(spans: DataFrame, by: list[str], *also) -> DataFrame:
     return opened.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *also).drop("__run")
 
 
-def piece_set(words: np.ndarray) -> np.ndarray:
-    """The ordered set of shingles of a paragraph's words."""
-    return np.unique(runs_of(words.astype(_U), SHINGLE))
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """words, wanted places and digests -> digest, ordered set of the shingles there as bytes."""
 
+    def sets() -> Iterator[tuple]:
+        last, acc = None, None
+        for words, at, n, digest in _wants(batches, "at", "n", "digest"):
+            if words is not last:
+                last, acc = words, runs_of(unpacked(words).astype(_U), SHINGLE)
+            yield digest, np.unique(acc[at : at + n - SHINGLE + 1]).tobytes()
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """words, wanted places and digests -> digest, set as bytes."""
-    return _flushed(((digest, piece_set(unpacked(words[3 * at : 3 * (at + n)])).tobytes()) for words, at, n, digest in _wants(batches, "at", "n", "digest")), _ITEMS_TYPE)
+    return _flushed(sets(), _ITEMS_TYPE)
 
 
 def _join(num: int, den: int):
