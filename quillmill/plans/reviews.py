@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evidence as E
 from ..operators import reviews as V
 from .registry import query, table
 
@@ -86,3 +87,41 @@ def _(spark, d):
     a = table(spark, d, "events").select(*[F.expr(e).alias(k) for k, e in _ALERT.items()])
     r = a.select(F.col("category").alias("was"), V.route("category", "owned", "secret_like", "strong").alias("r"))
     return r.groupBy("was", F.concat_ws("/", "r.category", "r.reason").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SPOTS = "regexp_count(text, '[Tt]he') % 4"
+
+
+@query("r_review_tiers", """WITH v AS (SELECT doc_id, length(coalesce(text, '')) % 25 AS risk, len(regexp_extract_all(coalesce(text, ''), '[Tt]he')) % 4 AS spots FROM documents), w AS (SELECT *, ('0x' || left(md5('tier|' || doc_id), 8))::BIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE AS drawn FROM v)
+SELECT doc_id, CASE WHEN spots > 0 AND (risk >= 12 OR spots >= 2) THEN 'A' WHEN spots > 0 OR risk >= 12 OR drawn THEN 'B' ELSE 'C' END AS tier, CASE WHEN spots > 0 AND (risk >= 12 OR spots >= 2) THEN 3 WHEN spots > 0 OR risk >= 12 OR drawn THEN 1 ELSE 0 END AS votes FROM w""")
+def _(spark, d):
+    """Tiers of documents by numbers that their whole texts give."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    v = t.select("doc_id", (F.length("text") % 25).alias("risk"), F.expr(_SPOTS).alias("spots"))
+    return v.select("doc_id", E.review_tier("risk", "spots", "spots", "doc_id").alias("v")).select("doc_id", "v.tier", "v.votes")
+
+
+@query("j_rule_class", "WITH f AS (SELECT CASE user_id % 3 WHEN 0 THEN 'os_command' WHEN 1 THEN 'weak_hash' ELSE event_type END AS rule FROM events) SELECT rule, CASE rule WHEN 'os_command' THEN 'CWE-78' WHEN 'weak_hash' THEN 'CWE-327' END AS cwe, count(*) AS n FROM f GROUP BY ALL")
+def _(spark, d):
+    f = table(spark, d, "events").select(F.expr("CASE user_id % 3 WHEN 0 THEN 'os_command' WHEN 1 THEN 'weak_hash' ELSE event_type END").alias("rule"))
+    return E.with_class(f.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))).select("rule", "cwe", "n")
+
+
+@query("v_random_context", "SELECT doc_id FROM documents ORDER BY md5('control|' || doc_id), doc_id LIMIT 20")
+def _(spark, d):
+    """Twenty documents whatever the query, the control of a retrieval."""
+    return E.random_context(table(spark, d, "documents").select("doc_id"), "doc_id", 20, "control")
+
+
+@query("v_padded_context", "SELECT doc_id, md5(left(repeat('nothing to see here' || chr(10), (n_chars // 20 + 2)::INT), n_chars::INT)) AS context_md5 FROM (SELECT doc_id, length(coalesce(text, '')) AS n_chars FROM documents)")
+def _(spark, d):
+    """A text without a bearing, as long as each document."""
+    t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return t.select("doc_id", F.md5(E.padded("nothing to see here", "n").cast("binary")).alias("context_md5"))
+
+
+@query("x_evidence_gate")
+def _(spark, d):
+    """Gates of findings in pages' whole scripts and markup; tests hold the gate against golden cases."""
+    p = table(spark, d, "pages").select("page_id", E.evidence_gate("html", F.lit("js"), F.lit("XSS"), F.lit(5), F.lit(True)).alias("gate"), E.line_marks("html").alias("m"))
+    return p.select("page_id", "gate", F.size("m").alias("n_marks"), F.size(F.filter("m", lambda x: x["declared"] != x["actual"])).alias("n_wrong"))
