@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroid_clusters as _centroids
 from . import exact_dedup as _exact
 from . import html_main_text as _html
 from . import language_id as _lid
@@ -13,6 +14,8 @@ from . import ngram_join as _ngrams
 from . import passage_dedup as _passages
 from . import piece_sampling as _pieces
 from . import quality_rules as _rules
+from . import simhash_pivots as _pivots
+from . import spelling_variants as _spelling
 from . import token_store as _store
 from . import toxicity as _tox
 from .common import new_path, table
@@ -148,6 +151,62 @@ bad AS (SELECT DISTINCT m.doc_id FROM metrics m JOIN fences f ON f.metric = m.me
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM rows_
 """
 
+def op11_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the near words of each, its form and its root."""
+    return _spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# fixed values: CRC-32 of the sixteen half bytes
+_CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents),
+each_ AS (SELECT doc_id, translate(raw, '{_UPPER}', '{_LOWER}') AS run, count(*) AS c FROM runs GROUP BY ALL),
+hexed AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM each_),
+halves AS (SELECT run, c, list_transform(range(length(x)), lambda i: ('0x' || substr(x, (i + 1 + 1 - 2 * (i % 2))::INT, 1))::BIGINT) AS hs FROM hexed),
+crcs AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, hs), lambda a, h: xor(a >> 4, ({_CRC})[(xor(a, h) & 15) + 1]::BIGINT)), 4294967295::BIGINT) AS h FROM halves),
+odd AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM crcs),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM odd WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+longer AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON c.k = w.word),
+near AS (SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.k = b.k AND a.i = b.i AND a.word <> b.word UNION ALL SELECT a, b FROM longer UNION ALL SELECT b, a FROM longer),
+best AS (SELECT a, count(*) AS n_near, max(w.n) AS top, arg_min(b, (-w.n, b)) AS b FROM near JOIN words w ON w.word = b GROUP BY a),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(x.n_near, 0) AS n_near, CASE WHEN x.top >= 2 * w.n THEN x.b END AS form, CASE WHEN x.top >= 2 * w.n THEN x.top END AS form_n FROM words w LEFT JOIN best x ON x.a = w.word),
+chain(word, spot, step) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON f.word = c.spot WHERE f.form IS NOT NULL),
+ends_ AS (SELECT word, arg_max(spot, step) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends_ e USING (word)
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings around 16 centroids after three rounds."""
+    return _centroids.centroid_clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _round_sql(r: int) -> str:
+    exact = "(s - ((s % n) + n) % n) // n"
+    return f"""
+near{r} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.rid, k.c, list_sum(list_transform(list_zip(v.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM vec v, cent{r} k) GROUP BY rid),
+sums{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.v) AS x, unnest(range(64)) AS i FROM near{r} a JOIN vec v USING (rid)) GROUP BY c, i),
+cent{r + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.v, k.v) AS v FROM cent{r} k LEFT JOIN (SELECT c, list({exact} ORDER BY i) AS v FROM sums{r} GROUP BY c) m USING (c)),"""
+
+
+OP12_SQL = f"""
+WITH vec AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+cent0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v FROM vec QUALIFY c < 16),{"".join(_round_sql(r) for r in range(4))}
+by_cluster AS (SELECT c, sum(d)::BIGINT AS s FROM near3 GROUP BY c)
+SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, b.s AS cluster_inertia, (SELECT sum(d)::BIGINT FROM near3) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM near3 a JOIN vec v USING (rid) JOIN by_cluster b USING (c) JOIN cent3 k USING (c)
+"""
+
+
+def op13_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those that differ in two bits at most."""
+    return _pivots.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_poisson_mix": op1_poisson_mix,
     "op2_piece_sampling": op2_piece_sampling,
@@ -159,5 +218,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_page_text": op9_page_text,
     "op10_adaptive_rules": op10_adaptive_rules,
+    "op11_parity_bands": op11_parity_bands,
+    "op12_centroids": op12_centroids,
+    "op13_pivot_simhash": op13_pivot_simhash,
 }
-ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op3_trie_join": OP3_SQL, "op5_block_naming": OP5_SQL, "op10_adaptive_rules": OP10_SQL}
+ORACLE_SQL = {"op1_poisson_mix": OP1_SQL, "op3_trie_join": OP3_SQL, "op5_block_naming": OP5_SQL, "op10_adaptive_rules": OP10_SQL, "op11_parity_bands": OP11_SQL, "op12_centroids": OP12_SQL}
