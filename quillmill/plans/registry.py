@@ -37,7 +37,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import checks, corpus, metrics, replies, reviews, scalars, tables  # noqa: F401
+    from . import checks, code, corpus, metrics, replies, reviews, scalars, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
