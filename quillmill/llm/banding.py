@@ -76,40 +76,47 @@ def _next_level(key_of: Callable[[np.ndarray, tuple[int, ...]], np.ndarray]):
     return run
 
 
-def in_sorted_groups(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """What fn makes of each group of two rows or more with equal integer keys. Many small groups share a partition and an Arrow batch."""
+def in_sorted_runs(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What fn(rows, first rows of the groups) makes of rows sorted by integer keys, some whole groups at a time: as many as an Arrow batch ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows > 1 and (out := fn(table)) is not None and out.num_rows:
-                yield out
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
             at = np.stack([table.column(k).to_numpy() for k in keys], 1)
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo > 1:
-                    yield from made(table.slice(lo, hi - lo))
-            held = table.slice(cuts[-1])
-        if held is not None:
-            yield from made(held)
+            cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1])
+            if len(cuts) > 1 and (out := fn(table.slice(0, int(cuts[-1])), cuts[:-1])) is not None and out.num_rows:
+                yield out
+            held = table.slice(int(cuts[-1]))
+        if held is not None and (out := fn(held, np.zeros(1, np.int64))) is not None and out.num_rows:
+            yield out
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def in_sorted_groups(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What fn makes of each group of two rows or more with equal integer keys. Many small groups share a partition and an Arrow batch."""
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+        ends = np.append(starts[1:], table.num_rows)
+        large = np.flatnonzero(ends - starts > 1)
+        out = [o for i in large.tolist() if (o := fn(table.slice(int(starts[i]), int(ends[i] - starts[i])))) is not None]
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+    return in_sorted_runs(rows, keys, run, schema)
+
+
 def meet(values: DataFrame, key_of: Callable[[np.ndarray, tuple[int, ...]], np.ndarray], levels: int, limit: int) -> Iterator[tuple[DataFrame, bool]]:
     """Rows (path, key, mask, more) of one level after the other whose groups are to be compared, and whether the level is the last.
 
-    values: (mask, more), a table or a written intermediate. All groups of up to `limit` rows are handed out; larger ones go on
-    a level, and at the last one the groups are handed out at any size.
+    values: (mask, more) or (key, mask, more), where only values of an equal key are to meet; cheap to compute again. All groups of up to `limit`
+    rows are handed out; larger ones go on a level, and at the last one the groups are handed out at any size.
     """
-    start = values.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("key"), "*")
+    start = values if "key" in values.columns else values.select(F.lit(0).cast("long").alias("key"), "*")
+    start = start.select(F.lit(0).cast("long").alias("path"), "*")
     rows = start.mapInArrow(_next_level(key_of), start.schema)
     for level in range(1, levels + 1):
         if level == levels:

@@ -3,11 +3,11 @@
 1. Words are counted in Arrow batches and the counts added up by word, so a word that fills the corpus costs a row a batch.
 2. The mask of a word has a bit for each letter, set if the letter stands in it an odd number of times. One inserted or deleted
    letter flips one bit, one replaced letter two or, where two letters share a bit, none. So of three bands of the mask two near words have one
-   in common: words meet in groups under it (banding.meet; large groups are cut again by the bits left).
-3. Words of an equal mask that are still too many meet under the halves of words: an edit leaves one half as it is.
-4. In a group words of equal length and of lengths one apart are compared by their masks, and those that may be near are verified
+   in common, and meet in a group under it (banding.meet; large groups are cut again by the bits left). The length filter is part of the key: a group
+   holds words of two lengths one apart. So is a half of the word, as an edit leaves one half as it is; without it groups grow too large (masks of words are few).
+3. In a group words are compared by length and mask, many groups at once, and those that may be near are verified
    letter by letter. A pair is reported in one group only. Each group gives a row a word: how many near words, and the best one.
-5. A word's form is its near word of the largest count (ties: the first in code-point order), if that is at least twice the word's own. Roots are
+4. A word's form is its near word of the largest count (ties: the first in code-point order), if that is at least twice the word's own. Roots are
    found by doubling: each round a word takes over the root that its present one has; counts double at each step, so rounds are few.
 
 Defined results: a null text has no words; a null id counts as empty text before the colon; equal rows are counted each; words are compared as
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import in_sorted_groups, meet, settled_here
+from .banding import in_sorted_runs, meet, settled_here
 from .common import join_hot, saved
 from .ngram_join import mix64
 
@@ -36,7 +36,7 @@ LEAST_LETTERS, LEAST_COUNT = 5, 3
 ODD = 97
 #: A form is at least so many times as frequent.
 TIMES = 2
-#: Groups of more words are cut again, LEVELS times by bits, then by halves.
+#: Groups of more words are cut again by the bits left, up to LEVELS times.
 LIMIT, LEVELS = 1024, 3
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 1 << 18
@@ -95,11 +95,6 @@ def masks_of(words: list[str]) -> np.ndarray:
     return out
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(masks_of(batch.column(0).to_pylist()).view(np.int64)), *batch.columns], names=["mask", "word", "n"])
-
-
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", odd: int = ODD, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT) -> DataFrame:
     """(word, n): words of enough letters that occur often enough over all whole texts."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -112,92 +107,99 @@ def _band_key(masks: np.ndarray, band: tuple[int, ...]) -> np.ndarray:
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a level -> four each: under either half, as a word of the shorter and of the longer length of two lengths one apart."""
+    """Words -> four rows each: under either half, as a word of the shorter and of the longer length of two lengths one apart."""
     for batch in batches:
-        path, key, words = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(_U), batch.column(3).to_pylist()
+        words = batch.column(0).to_pylist()
+        masks = pa.array(masks_of(words).view(np.int64))
         lens = np.fromiter(map(len, words), np.int64, len(words))
         for less in (0, 1):
             short = lens - less
             for side in (0, 1):
                 half = [w[: s // 2] if not side else w[len(w) - (s - s // 2) :] for w, s in zip(words, short.tolist(), strict=True)]
                 h = np.fromiter((zlib.crc32(x.encode()) | zlib.adler32(x.encode()) << 32 for x in half), _U, len(half))
-                new = mix64(mix64(key ^ h) + (2 * short + side).astype(_U))
-                cols = [batch.column(0), pa.array(new.view(np.int64)), *batch.columns[2:], pa.array(short), pa.array(np.full(len(words), side))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "short", "side"])
-
-
-def one_edit_pairs(words: list[str], masks: np.ndarray, path: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of words that differ by one inserted, deleted or replaced letter, whose first equal bands are those of the path."""
+                key = mix64(mix64(h) + (2 * short + side).astype(_U))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), masks, *batch.columns, pa.array(short.astype(np.int32)), pa.array(np.full(len(words), side, np.int32))], names=["key", "mask", "word", "n", "short", "side"])
+
+
+def pairs_within(starts: np.ndarray, many: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows of the same group, by their distance; groups are runs of rows that begin at starts."""
+    left = np.repeat(np.append(starts[1:], many), np.diff(np.append(starts, many))) - np.arange(many)
+    at, apart = np.arange(many), 1
+    while len(at := at[left[at] > apart]):
+        yield at, at + apart
+        apart += 1
+
+
+def one_edit(words: list[str], lens: np.ndarray, i: np.ndarray, j: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs with lengths equal or one apart (i the shorter): which differ by one inserted, deleted or replaced letter, and which agree in the first short // 2 letters."""
+    near, front = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    spots = np.zeros(len(words), np.int64)
+    used = np.unique(np.concatenate([i, j]))
+    letters = {}
+    for n in np.unique(lens[used]).tolist():
+        at = used[lens[used] == n]
+        spots[at] = np.arange(len(at))
+        letters[n] = np.frombuffer("".join(words[k] for k in at.tolist()).encode("latin-1"), np.uint8).reshape(len(at), n)
+    kinds = lens[i] * 2 + (lens[j] - lens[i])
+    for kind in np.unique(kinds).tolist():
+        n, more = divmod(kind, 2)
+        these = np.flatnonzero(kinds == kind)
+        for lo in range(0, len(these), max(1, (1 << 22) // n)):
+            t = these[lo : lo + max(1, (1 << 22) // n)]
+            a, b = letters[n][spots[i[t]]], letters[n + more][spots[j[t]]]
+            same = a == b[:, :n]
+            first = np.logical_and.accumulate(same, axis=1).sum(1)
+            if more:  # what is equal from the front and from the back covers the shorter one
+                near[t] = first + np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(1) >= n
+            else:
+                near[t] = (~same).sum(1) == 1
+            front[t] = first >= short[t] // 2
+    return near, front
+
+
+def _near_rows(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+    """Groups -> word, n_near, best_n, best for each word with a near one in its group."""
+    if len(starts) == table.num_rows:
+        return None
+    masks, n, path, short, side = (table.column(c).to_numpy() for c in ("mask", "n", "path", "short", "side"))
+    masks, words = masks.view(_U), table.column("word").to_pylist()
     lens = np.fromiter(map(len, words), np.int64, len(words))
-    sizes = np.unique(lens).tolist()
-    groups = {n: np.flatnonzero(lens == n) for n in sizes}
-    letters = {n: np.frombuffer("".join(words[i] for i in groups[n].tolist()).encode("latin-1"), np.uint8).reshape(-1, n) for n in sizes}
-    for n in sizes:
-        for m in (n, n + 1):
-            if m not in groups or (m == n and len(groups[n]) < 2):
-                continue
-            mine, others = masks[groups[n]], masks[groups[m]]
-            step = max(1, (1 << 20) // len(others))
-            for lo in range(0, len(mine), step):
-                apart = mine[lo : lo + step, None] ^ others[None, :]
-                flips = np.bitwise_count(apart)
-                may = (flips == 0) | (flips == 2) if m == n else flips == 1
-                i, j = np.nonzero(may)
-                if m == n:
-                    i, j = i[j > i + lo], j[j > i + lo]
-                good = settled_here(path, apart[i, j])
-                i, j = i[good] + lo, j[good]
-                for some in range(0, len(i), max(1, (1 << 22) // n)):
-                    x, y = i[some : some + max(1, (1 << 22) // n)], j[some : some + max(1, (1 << 22) // n)]
-                    a, b = letters[n][x], letters[m][y]
-                    if m == n:
-                        near = (a != b).sum(1) == 1
-                    else:  # what is equal from the front and from the back covers the shorter one
-                        front = np.logical_and.accumulate(a == b[:, :n], axis=1).sum(1)
-                        back = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(1)
-                        near = front + back >= n
-                    yield groups[n][x[near]], groups[m][y[near]]
-
-
-def _near_rows(table: pa.Table) -> pa.RecordBatch | None:
-    """A group -> word, n_near, best_n, best for each word with a near one in it."""
-    words, masks, n = table.column("word").to_pylist(), table.column("mask").to_numpy().view(_U), table.column("n").to_numpy()
-    path = table.column("path")[0].as_py()
-    short, side = (table.column("short")[0].as_py(), table.column("side")[0].as_py()) if "short" in table.column_names else (None, 0)
-    many, best = [0] * len(words), [(0, "")] * len(words)
-    for left, right in one_edit_pairs(words, masks, path):
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            if short is not None:
-                a, b = words[i], words[j]
-                front = a[: short // 2] == b[: short // 2]
-                # a pair is told where its shorter word has the group's length, and at the back only if the fronts differ
-                if len(a) != short or (front if side else not front):
-                    continue
-            for x, y in ((i, j), (j, i)):
-                many[x] += 1
-                best[x] = min(best[x], (-int(n[y]), words[y]))
-    at = [i for i, k in enumerate(many) if k]
-    if not at:
+    found = []
+    for i, j in pairs_within(starts, len(words)):
+        flips = np.bitwise_count(masks[i] ^ masks[j])
+        more = lens[j] - lens[i]
+        # the shorter word has the group's length
+        may = (flips <= 2) & ((flips & 1) == (more & 1)) & (np.abs(more) <= 1) & (np.minimum(lens[i], lens[j]) == short[i])
+        found.append((np.where(more < 0, j, i)[may], np.where(more < 0, i, j)[may]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    apart = masks[i] ^ masks[j]
+    good = np.zeros(len(i), bool)
+    for p in np.unique(path[i]).tolist():
+        at = np.flatnonzero(path[i] == p)
+        good[at] = settled_here(p, apart[at])
+    i, j = i[good], j[good]
+    near, front = one_edit(words, lens, i, j, short[i])
+    near &= front != (side[i] == 1)  # told under the second half only if the first ones differ
+    i, j = i[near], j[near]
+    if not len(i):
         return None
-    return pa.RecordBatch.from_arrays([pa.array([words[i] for i in at]), pa.array([many[i] for i in at], pa.int64()), pa.array([-best[i][0] for i in at], pa.int64()), pa.array([best[i][1] for i in at])], names=["word", "n_near", "best_n", "best"])
+    src, dst = np.concatenate([i, j]), np.concatenate([j, i])
+    rank = np.empty(len(words), np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    order = np.lexsort((rank[dst], -n[dst], src))
+    own, first, many = np.unique(src[order], return_index=True, return_counts=True)
+    best = dst[order][first]
+    names = table.column("word")
+    return pa.RecordBatch.from_arrays([names.take(pa.array(own)).combine_chunks(), pa.array(many), pa.array(n[best]), names.take(pa.array(best)).combine_chunks()], names=["word", "n_near", "best_n", "best"])
 
 
 def near_words(words: DataFrame, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
     """(word, n_near, best_n, best) of words (word, n) with a near one. words: a table or a written intermediate."""
-    out = "word string, n_near bigint, best_n bigint, best string"
-    masked = saved(words.select("word", "n").mapInArrow(_masked, "mask bigint, word string, n bigint"), "masks")
-    parts, rows, level = [], None, 0
-    for rows, last in meet(masked, _band_key, levels, limit):
-        level += 1
-        if last and level == levels:
-            large = saved(rows.groupBy("path", "key").count().where(F.col("count") > limit).select("path", "key"), "large")
-            halves = rows.join(large, ["path", "key"], "left_semi").select(*rows.columns).mapInArrow(_halves, "path bigint, key bigint, mask bigint, word string, n bigint, short bigint, side bigint")
-            parts.append(in_sorted_groups(halves, ["path", "key"], _near_rows, out))
-            rows = rows.join(large, ["path", "key"], "left_anti").select(*rows.columns)
-        parts.append(in_sorted_groups(rows, ["path", "key"], _near_rows, out))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    halves = words.select("word", "n").mapInArrow(_halves, "key bigint, mask bigint, word string, n bigint, short int, side int")
+    found = None
+    for rows, _ in meet(halves, _band_key, levels, limit):
+        part = in_sorted_runs(rows, ["path", "key"], _near_rows, "word string, n_near bigint, best_n bigint, best string")
+        found = part if found is None else found.union(part)
     first = F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), first.alias("f")).select("word", "n_near", (-F.col("f.m")).alias("best_n"), F.col("f.w").alias("best"))
 

@@ -78,15 +78,24 @@ def test_large_groups_are_cut_and_lose_nothing(spark, tmp_path):
     words = {"".join(rng.choice("ab") for _ in range(rng.choice([5, 6, 7, 8, 9]))): rng.randrange(3, 99) for _ in range(900)}
     table = stored(spark, tmp_path, spark.createDataFrame(list(words.items()), "word string, n bigint"))
     want = expected(words)
-    for limit in (1 << 20, 40, 4):  # no cut, by bits, and down to the halves of words
+    for limit in (1 << 20, 12, 2):  # no cut, cut once, and as often as can be
         assert found(S.variants_of(table, limit=limit)) == want
 
 
-def test_pairs_of_a_group_are_those_of_brute_force():
+def test_pairs_are_those_of_brute_force():
     rng = random.Random(6)
-    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(5, 9))) for _ in range(300)})
-    pairs = {tuple(sorted((words[i], words[j]))) for a, b in S.one_edit_pairs(words, S.masks_of(words)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-    assert pairs == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b)}
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(5, 9))) for _ in range(300)}, key=len)
+    lens = np.array([len(w) for w in words])
+    starts = np.array([0, 7, 8, 60, 250])
+    seen = {(i, j) for a, b in S.pairs_within(starts, len(words)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    ends = [*starts[1:].tolist(), len(words)]
+    assert seen == {(i, j) for s, e in zip(starts.tolist(), ends, strict=True) for i in range(s, e) for j in range(i + 1, e)}
+    pairs = np.array([(i, j) for i, j in seen if lens[j] - lens[i] <= 1])
+    got, front = S.one_edit(words, lens, pairs[:, 0], pairs[:, 1], lens[pairs[:, 0]])
+    assert got.any() and not got.all()
+    for (i, j), is_near, same in zip(pairs.tolist(), got.tolist(), front.tolist(), strict=True):
+        assert is_near == near(words[i], words[j])
+        assert same == (words[i][: lens[i] // 2] == words[j][: lens[i] // 2])
 
 
 def test_an_edit_flips_two_bits_at_most():
