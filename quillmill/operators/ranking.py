@@ -89,23 +89,3 @@ def cluster_quota(df: DataFrame, cluster: str, key: str, quota: int) -> DataFram
     w = Window.partitionBy(cluster)
     r = df.withColumns({"__rn": F.row_number().over(w.orderBy(key)), "__size": F.count(F.lit(1)).over(w), "__first": F.min(key).over(w)})
     return r.orderBy("__rn", F.desc("__size"), "__first").limit(quota).drop("__size", "__first").withColumnRenamed("__rn", "turn")
-
-
-def char_budget(df: DataFrame, group: str, order: list[str], size: str, most: int, ascending: list[bool]) -> DataFrame:
-    """df with selected: rows in order while their sizes fit the group's budget; one that doesn't fit is skipped and the next tried, the first always fits.
-
-    The choice depends on all before, so a group is folded in one task: groups are meant to be small (a repository's files).
-    """
-    schema = df.schema
-    names = [f.name for f in schema]
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, ascending=ascending, kind="stable")
-        used, out = 0, []
-        for n in pdf[size].tolist():
-            fits = not used or used + n <= most
-            used += n if fits else 0
-            out.append(fits)
-        return pdf.assign(selected=out)[[*names, "selected"]]
-
-    return df.groupBy(group).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", selected boolean")

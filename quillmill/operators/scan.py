@@ -1,4 +1,4 @@
-"""Rule scans over texts: pattern rules as data, line rules with propagation, chunk scores, candidate merges and patches."""
+"""Rule scans over texts: pattern rules as data, line rules with propagation, chunk scores and patches."""
 
 from __future__ import annotations
 
@@ -113,30 +113,6 @@ class TaintPaths:
                         yield tainted[w][0], n, w, ">".join(map(str, [*tainted[w], n]))
 
 
-def merge_candidates(findings: DataFrame) -> DataFrame:
-    """Findings (file, type, source_line, sink_line, tool, strength) of several tools in one row per flow, level by level.
-
-    Equal (type, source, sink), then equal (type, source), then equal sink lines, are one finding; tools are united, the
-    strongest evidence leads. A file's findings are folded in one task: they are few.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["strength", "type", "source_line", "sink_line", "tool"], ascending=[False, True, True, True, True]).to_dict("records")
-        kept: list[dict] = []
-        for r in rows:
-            levels = (("type", "source_line", "sink_line"), ("type", "source_line"), ("type", "sink_line"), ("sink_line",))
-            for keys in levels:
-                same = next((k for k in kept if all(k[x] == r[x] and r[x] is not None and r[x] == r[x] for x in keys)), None)
-                if same:
-                    same["tools"].add(r["tool"])
-                    break
-            else:
-                kept.append({**r, "tools": {r["tool"]}})
-        return pd.DataFrame([(k["file"], k["type"], k["source_line"], k["sink_line"], "+".join(sorted(k["tools"])), k["strength"]) for k in kept], columns=["file", "type", "source_line", "sink_line", "tools", "strength"])
-
-    return findings.groupBy("file").applyInPandas(run, "file bigint, type string, source_line int, sink_line int, tools string, strength double")
-
-
 def patch_lines(df: DataFrame, key: str, patch: str) -> DataFrame:
     """(key, hunk, tag, line, old_line, new_line) of unified diffs; numbers follow from the last hunk header above."""
     lines = df.select(key, F.posexplode(T.lines(patch)).alias("i", "raw"))

@@ -171,13 +171,6 @@ def _(spark, d):
     return X.chunk_scores(table(spark, d, "documents"), "doc_id", "text", "the", "and", r"\|", 5)
 
 
-@query("x_merge_candidates")
-def _(spark, d):
-    """Findings of three tools folded to flows: order decides, checked by tests."""
-    e = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.explode(F.array(*[F.lit(x) for x in ("a", "b", "c")])).alias("tool"))
-    return X.merge_candidates(e.select("file", F.expr("CASE WHEN tool = 'c' THEN 'CWE-79' ELSE 'CWE-89' END").alias("type"), F.expr("CAST(file % 4 AS INT)").alias("source_line"), F.expr("CAST(file % 7 + CASE WHEN tool = 'b' THEN 1 ELSE 0 END AS INT)").alias("sink_line"), "tool", F.expr("CASE tool WHEN 'a' THEN 0.9D WHEN 'b' THEN 0.7D ELSE 0.5D END").alias("strength")))
-
-
 _PATCH = "concat('@@ -', CAST(doc_id % 5 + 1 AS STRING), ',3 +', CAST(doc_id % 5 + 1 AS STRING), ',3 @@\\n a\\n-b\\n+c\\n d')"
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import anchors as A
 from ..functions import lexer as L
 from ..operators import code as C
+from ..operators import fixes as X
+from ..operators import merging as M
 from ..operators import rules as R
 from .registry import query, table
 
@@ -115,3 +117,56 @@ def _(spark, d):
     """The danger rules and two more rows, over the scripts of all pages."""
     more = spark.createDataFrame([("menu-tracking", r"track\([0-9]+\)", ["track("], [], [], None, "", "low"), ("markup-in-string", r'"([^"]*<[^"]*)"', ["<"], [r"track\([0-9]*[05]\)"], [], None, "CWE-79", "low")], R.SCHEMA)
     return R.scan(scripts(spark, d), "page_id", "code", R.danger_rules(spark).union(more)).select("page_id", "rule", "line", "value")
+
+
+def revisions(spark, d):
+    """(a, b, lang, old, new): documents that begin with the same eight words as another one, beside the one of the smallest id among those."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    start = F.lower(F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){7})", 1))
+    begun = docs.withColumn("start", F.md5(F.regexp_replace(start, r"\s+", " ").cast("binary"))).where(start != "")
+    first = begun.groupBy("start").agg(F.min(F.struct("doc_id", "text")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = begun.join(first, "start").where("doc_id <> f.doc_id AND text <> f.text")
+    return pairs.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"), "lang", F.col("f.text").alias("old"), F.col("text").alias("new"))
+
+
+@query("x_localized_fixes")
+def _(spark, d):
+    """Hints by line of what revisions of documents changed. Tests compare with a unified diff."""
+    out = X.localized(revisions(spark, d), ["a", "b"], "old", "new")
+    return out.select("a", "b", F.size("hints").alias("n_hints"), "needs_review", F.md5(F.array_join("hints", "\n").cast("binary")).alias("hints_md5"))
+
+
+# words and evidence of the texts' languages, as rows
+_WORDS = [("en", w) for w in ("the", "and", "to")] + [("de", w) for w in ("die", "und")] + [("fr", w) for w in ("le", "de")] + [("es", w) for w in ("el", "la")]
+_PROOFS = [("en", True, r"\bthe\b.*\band\b"), ("en", False, r"\bthe\b"), ("de", True, r"\bdie\b"), ("fr", True, r"\b\d{6,}\b"), ("fr", False, r"\bune\b")]
+
+
+@query("x_patch_gates")
+def _(spark, d):
+    """Gates of what revisions of documents changed, with the language as class and the first line of the new text as description."""
+    pairs = revisions(spark, d).withColumn("about", F.split_part("new", F.lit("\n"), F.lit(1)))
+    return X.gates(pairs, ["a", "b"], "old", "new", "lang", "about", spark.createDataFrame(_WORDS, "label string, word string"), spark.createDataFrame(_PROOFS, "label string, strong boolean, pattern string"))
+
+
+_LINE_RULES = [("opens", r"\bopen\(", ["open("], [], [], None, "Path Traversal", ""), ("address", r"location\.search", ["location"], [], [], None, "Path Traversal", ""), ("joins", r'\+ "on"', ['"on"'], [], [], None, "Path Traversal", ""), ("starts", r"go0\(location", ["go0("], [], [], None, "", "")]
+
+
+@query("x_merge_candidates", f"""
+WITH p AS (SELECT page_id, {_HREFS} AS hs FROM pages),
+q AS (SELECT page_id AS file, len(hs) AS n, len(list_filter(hs, lambda h: length(h) % 5 = 0)) AS clean FROM p)
+SELECT file, 'open' AS first, 'flows+lines' AS tools, 3 AS n_members FROM q WHERE clean = 0
+UNION ALL SELECT file, 'opens', 'lines', 1 FROM q WHERE clean > 0
+UNION ALL SELECT file, 'address', 'lines', 1 FROM q WHERE clean > 0
+UNION ALL SELECT file, 'joins', 'lines', n - clean FROM q WHERE n > clean
+UNION ALL SELECT file, 'page', 'page', 1 FROM q WHERE clean > 0 OR n > clean""")
+def _(spark, d):
+    """Findings of three tools in the programs of all pages, merged: flows with source and sink, hits of line rules, and a mark of the page without a line."""
+    code = programs(spark, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    flow = C.flows(L.tokens(code, "page_id", "code"), "page_id", C.flow_rules(spark)).select(F.col("page_id").alias("file"), F.lit(0).alias("pos"), F.col("label").alias("type"), none("string").alias("rule"), F.lit("flows").alias("tool"), "source", "sink", "source_line", "sink_line")
+    hits = R.scan(code, "page_id", "code", spark.createDataFrame(_LINE_RULES, R.SCHEMA)).where("label <> ''").select(F.col("page_id").alias("file"), (F.col("start") + 1).alias("pos"), F.col("label").alias("type"), "rule", F.lit("lines").alias("tool"), none("string").alias("source"), none("string").alias("sink"), none("int").alias("source_line"), F.col("line").alias("sink_line"))
+    marks = code.select(F.col("page_id").alias("file"), F.lit(1 << 30).alias("pos"), F.lit("Path Traversal").alias("type"), F.lit("page").alias("rule"), F.lit("page").alias("tool"), none("string").alias("source"), none("string").alias("sink"), none("int").alias("source_line"), none("int").alias("sink_line"))
+    found = flow.unionByName(hits).unionByName(marks).withColumns({"family": F.col("type"), "category": F.lit("taint")})
+    merged = M.merge_findings(found)
+    names = found.select("file", "pos", "rule").where("rule IS NOT NULL")
+    return merged.join(names, ["file", "pos"], "left").select("file", F.coalesce("rule", "sink").alias("first"), "tools", F.size("members").alias("n_members"))
