@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import gates as G
 from ..operators import scan as X
+from ..operators import vector_store as VS
 from ..operators import vectors as N
+from ..sources.readers import scratch
 from .registry import query, table
 
 
@@ -240,3 +242,32 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     r = N.knn(e.where("vec_id % 50 = 0"), e, 4, where="label = 1").where("query_id != id")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where("rank <= 3").select("query_id", "id", "rank")
+
+
+def _store(spark, d):
+    """A store of all embeddings, with some written over and some deleted."""
+    base = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    store = VS.VectorStore.create(spark, scratch(spark, "vectors"), VS.fit_centers(base))
+    store.add(base, meta=("label",))
+    store.upsert(base.where("vec_id % 10 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)), meta=("label",))
+    store.delete(base.where("vec_id % 10 = 7"))
+    return base, store
+
+
+@query("v_store_search", """
+WITH live AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS v FROM embeddings WHERE vec_id % 10 <> 7),
+d AS (SELECT q.vec_id AS query_id, l.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, l.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS dist FROM embeddings q, live l WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, rank::INT AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM d) WHERE rank <= 5""")
+def _(spark, d):
+    """The five nearest of all live vectors, after upserts and deletions, for queries of all hundredth ids; all cells are asked."""
+    base, store = _store(spark, d)
+    return store.search(base.where("vec_id % 100 = 0"), 5, probes=VS.CELLS).select("query_id", "id", "rank")
+
+
+@query("v_store_recall", "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    """Whether the cells asked by default give a recall of 0.9 against the exact search, over all vectors."""
+    base, store = _store(spark, d)
+    q = base.where("vec_id % 100 = 0")
+    live = store.live().select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
+    return VS.recall(store.search(q, 10), N.knn(q, live, 10)).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))

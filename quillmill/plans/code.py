@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import anchors as A
+from ..functions import context as T
 from ..functions import lexer as L
 from ..operators import code as C
 from ..operators import fixes as X
@@ -170,3 +171,12 @@ def _(spark, d):
     merged = M.merge_findings(found)
     names = found.select("file", "pos", "rule").where("rule IS NOT NULL")
     return merged.join(names, ["file", "pos"], "left").select("file", F.coalesce("rule", "sink").alias("first"), "tools", F.size("members").alias("n_members"))
+
+
+@query("x_windowed_context")
+def _(spark, d):
+    """Context of all documents around their first and middle lines under a budget of 600. Tests compare with a plain packing."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    n = F.size(F.split("text", "\n"))
+    out = docs.select("doc_id", n.alias("n_lines"), T.windowed_context("text", F.array(F.lit(1), F.floor((n + 1) / 2).cast("int")), F.array(F.lit("")), 600).alias("context"))
+    return out.select("doc_id", "n_lines", F.length("context").alias("n_chars"), F.regexp_count("context", F.lit("(?m)^# …… 省略")).alias("n_skipped"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
