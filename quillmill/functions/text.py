@@ -27,11 +27,15 @@ def norm_lines(c) -> Column:
     return F.array_distinct(F.filter(t, lambda x: (F.length(x) >= 8) & ~x.startswith("#") & ~x.startswith("//")))
 
 
+#: Around what stands alone: no letter or digit of any script and no underscore beside it.
+ALONE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
+
 def norm_lines_masked(c) -> Column:
     """Lines in order without comments, string literals as S and numbers as N, of 4 characters or more."""
     t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)", " ")
     t = F.regexp_replace(t, r"\"[^\"\n]*\"|'[^'\n]*'", "S")
-    t = F.regexp_replace(t, r"\b[0-9]+\b", "N")
+    t = F.regexp_replace(t, rf"{ALONE[0]}[0-9]+{ALONE[1]}", "N")
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
 
 
@@ -76,8 +80,8 @@ FORM_VARIABLES = ["user_input", "userInput", "username", "password", "email", "s
 def normalize_form(c) -> Column:
     """A line's form: literals, numbers and usual variable names masked; 120 characters at most."""
     t = F.regexp_replace(F.regexp_replace(F.trim(col(c)), r"'[^']*'", "'S'"), r'"[^"]*"', '"S"')
-    t = F.regexp_replace(t, r"\b[0-9]+\b", "N")
-    t = F.regexp_replace(t, r"(?i)\b(" + "|".join(FORM_VARIABLES) + r")\b", "VAR")
+    t = F.regexp_replace(t, rf"{ALONE[0]}[0-9]+{ALONE[1]}", "N")
+    t = F.regexp_replace(t, f"(?i){ALONE[0]}(" + "|".join(FORM_VARIABLES) + f"){ALONE[1]}", "VAR")
     return F.left(F.regexp_replace(t, WS, " "), F.lit(120))
 
 

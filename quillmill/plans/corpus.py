@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import verdicts as V
 from ..operators import budget as B
 from ..operators import dedup as D
+from ..operators import leaks as K
 from ..operators import ranking as R
 from ..operators import similarity as S
 from .registry import query, table
@@ -192,15 +193,13 @@ def _(spark, d):
     return top.select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), "rank", F.when(F.col("jaccard") >= 0.5, "high").when(F.col("jaccard") >= 0.3, "mid").otherwise("low").alias("tier"))
 
 
-@query("d_substring_leak", r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS t FROM benchmark)
-SELECT DISTINCT doc_id, item_id FROM n JOIN b ON contains(n.t, left(b.t, 60)) AND length(b.t) >= 60""")
+@query("d_substring_leak", r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS t FROM benchmark),
+w AS (SELECT DISTINCT item_id, substr(t, i, 60) AS w FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 59, 1) + 1, 30)) AS i FROM b WHERE t <> ''))
+SELECT DISTINCT doc_id, item_id FROM n JOIN w ON contains(n.t, w.w)""")
 def _(spark, d):
-    """Documents that hold the first 60 characters of a benchmark item: an exact check behind an equality on 12-character keys."""
-    docs = table(spark, d, "documents").select("doc_id", T.normalize_code("text").alias("t"))
-    items = table(spark, d, "benchmark").select("item_id", F.left(T.normalize_code("text"), F.lit(60)).alias("head")).where("length(head) = 60")
-    # every occurrence starts somewhere in the text: windows of 60 characters meet the heads by hash, so no pair is formed without a match
-    starts = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 59, F.lit(1))), lambda i: F.substring("t", i, F.lit(60)))).alias("head"))
-    return starts.join(items, "head").select("doc_id", "item_id").distinct()
+    """Documents that hold 60 characters of a benchmark item, from every thirtieth on, or a shorter item."""
+    normal = lambda name, key: table(spark, d, name).select(key, T.normalize_code("text").alias("t"))
+    return K.window_leaks(normal("documents", "doc_id"), normal("benchmark", "item_id"), "doc_id", "item_id", "t")
 
 
 # --- joins -------------------------------------------------------------------------------------

@@ -24,12 +24,16 @@ def _(spark, d):
     return ls.select("doc_id", F.size("ls").alias("n_lines"), F.md5(F.array_join(F.array_sort("ls"), "\n").cast("binary")).alias("lines_md5"))
 
 
-@query("fn_norm_lines_masked", r"""
+# a text cut into words of any script and what stands between them: word boundaries of the engines differ, this doesn't
+_WORDS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
+
+
+@query("fn_norm_lines_masked", rf"""
 SELECT doc_id, len(ls)::INT AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(
-  regexp_replace(regexp_replace(regexp_replace(text, '(#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)', ' ', 'g'), '"[^"\n]*"|''[^''\n]*''', 'S', 'g'), '\b[0-9]+\b', 'N', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 4) AS ls FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$'))""")
+  array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '(#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)', ' ', 'g'), '"[^"\n]*"|''[^''\n]*''', 'S', 'g'), {_WORDS}),
+    lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'N' ELSE w END), ''), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 4) AS ls FROM documents)""")
 def _(spark, d):
-    # word boundaries beside letters outside ASCII differ between regex engines: the query keeps to ASCII texts
-    ls = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.norm_lines_masked("text").alias("ls"))
+    ls = table(spark, d, "documents").select("doc_id", T.norm_lines_masked("text").alias("ls"))
     return ls.select("doc_id", F.size("ls").alias("n_lines"), F.md5(F.array_join("ls", "\n").cast("binary")).alias("lines_md5"))
 
 
@@ -38,9 +42,9 @@ KEEP = "if elif else for while def return class import from as try except finall
 
 
 @query("fn_skeleton", r"""
-SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(left(text, 400), '([A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+)'), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains(['if','elif','else','for','while','def','return','class','import','from','as','try','except','finally','with','and','or','not','in','is'], lower(x)) THEN 'ID' ELSE x END), '')) AS skeleton_md5 FROM documents""")
+SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+)'), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains(['if','elif','else','for','while','def','return','class','import','from','as','try','except','finally','with','and','or','not','in','is'], lower(x)) THEN 'ID' ELSE x END), '')) AS skeleton_md5 FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.skeleton(F.left("text", F.lit(400)), KEEP).cast("binary")).alias("skeleton_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.skeleton("text", KEEP).cast("binary")).alias("skeleton_md5"))
 
 
 @query("fn_structural_fingerprint", r"""
@@ -50,12 +54,17 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.structural_fingerprint("text").alias("fingerprint"))
 
 
-@query("fn_normalize_form", r"""
-SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x, ' '), '''[^'']*''', '''S''', 'g'), '"[^"]*"', '"S"', 'g'), '\b[0-9]+\b', 'N', 'g'), '(?i)\b(user_input|userInput|username|password|email|search_term|searchTerm|comment|name|value|data|query|id|uid|file|content|message|input|param|request|payload|token|url|cmd)\b', 'VAR', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), 120) AS form
-FROM (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$'))""")
+_NAMES = ", ".join(f"'{x.lower()}'" for x in T.FORM_VARIABLES)
+
+
+@query("fn_normalize_form", rf"""
+SELECT doc_id, line, left(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(trim(x, ' '), '''[^'']*''', '''S''', 'g'), '"[^"]*"', '"S"', 'g'), {_WORDS}),
+  lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'N' WHEN lower(w) IN ({_NAMES}) THEN 'VAR' ELSE w END), ''), '[\t\n\x0B\f\r ]+', ' ', 'g'), 120) AS form
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM documents)""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", T.normalize_form(F.split("text", "\n")[0]).alias("form"))
+    """Forms of all lines of all documents."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("line"), T.normalize_form("x").alias("form"))
 
 
 @query("fn_api_shapes", r"""
