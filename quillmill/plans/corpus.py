@@ -300,12 +300,14 @@ CWE_PARENTS = {"CWE-564": "CWE-89", "CWE-89": "CWE-943", "CWE-943": "CWE-74", "C
 
 
 @query("j_class_closure", """WITH RECURSIVE e(c, p) AS (VALUES ('CWE-564','CWE-89'),('CWE-89','CWE-943'),('CWE-943','CWE-74'),('CWE-79','CWE-74'),('CWE-78','CWE-77'),('CWE-77','CWE-74'),('CWE-22','CWE-706')), a(c, p) AS (SELECT c, p FROM e UNION SELECT a.c, e.p FROM a JOIN e ON e.c = a.p)
-SELECT c AS child, p AS ancestor FROM a""")
+SELECT event_id, c AS class, p AS ancestor FROM events JOIN a ON c = 'CWE-' || regexp_extract(props, '[0-9]+')""")
 def _(spark, d):
-    """All ancestors of classes, so that a match in either direction is one equality."""
+    """Events as findings of the class their property names, each with all ancestors of it, so that a match in either direction is one equality."""
     edges = spark.createDataFrame(list(CWE_PARENTS.items()), "child string, ancestor string")
     edges.createOrReplaceTempView("quillmill_class_edges")
-    return spark.sql("WITH RECURSIVE up(child, ancestor) AS (SELECT child, ancestor FROM quillmill_class_edges UNION ALL SELECT u.child, e.ancestor FROM up u JOIN quillmill_class_edges e ON e.child = u.ancestor) SELECT DISTINCT child, ancestor FROM up")
+    up = spark.sql("WITH RECURSIVE up(child, ancestor) AS (SELECT child, ancestor FROM quillmill_class_edges UNION ALL SELECT u.child, e.ancestor FROM up u JOIN quillmill_class_edges e ON e.child = u.ancestor) SELECT DISTINCT child AS class, ancestor FROM up")
+    found = table(spark, d, "events").select("event_id", F.concat(F.lit("CWE-"), F.regexp_extract("props", "[0-9]+", 0)).alias("class"))
+    return found.join(up, "class").select("event_id", "class", "ancestor")
 
 
 # --- ranking and sampling ------------------------------------------------------------------------

@@ -42,20 +42,24 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", L.class_with_evidence(raw, why).alias("label"))
 
 
-@query("fn_class_family", """SELECT a.n AS reported, b.n AS expected, a.n = b.n OR (least(a.n, b.n), greatest(a.n, b.n)) IN ((94, 917), (94, 1336), (79, 80), (94, 95)) AS same
-  FROM (VALUES (917), (94), (1336), (80), (79), (95), (89)) AS a(n), (VALUES (917), (94), (1336), (80), (79), (95), (89)) AS b(n)""")
+@query("fn_class_family", """SELECT event_id, a.n AS reported, a.m AS expected, a.n = a.m OR (least(a.n, a.m), greatest(a.n, a.m)) IN ((94, 917), (94, 1336), (79, 80), (94, 95)) AS same
+  FROM (SELECT event_id, user_id::INT AS n, regexp_extract(props, '[0-9]+')::INT AS m FROM events) AS a""")
 def _(spark, d):
-    """All pairs of seven classes."""
-    n = F.explode(F.array(*[F.lit(x) for x in (917, 94, 1336, 80, 79, 95, 89)]))
-    pairs = spark.range(1).select(n.alias("reported")).select("reported", n.alias("expected"))
+    """Whether the class an event's user stands for and the one its property names are one family, for all events."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("int").alias("reported"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("expected"))
     name = lambda c: F.concat(F.lit("CWE-"), F.col(c).cast("string"))
-    return pairs.select("reported", "expected", L.same_family(name("reported"), name("expected")).alias("same"))
+    return e.select("event_id", "reported", "expected", L.same_family(name("reported"), name("expected")).alias("same"))
 
 
-@query("fn_json_objects")
+# the objects of these tables hold no further ones
+_OBJECTS = " UNION ALL ".join(f"SELECT {i} AS id, unnest(regexp_extract_all({c}, '\\{{[^{{}}]*\\}}')) AS object FROM {t}" for i, c, t in (("'d' || doc_id", "text", "documents"), ("'c-' || conv_id || '-' || turn", "text", "conversations"), ("'p' || page_id", "html", "pages"), ("'e' || event_id", "props", "events")))
+
+
+@query("fn_json_objects", _OBJECTS)
 def _(spark, d):
-    """Objects in braces in whole texts and turns. Tests compare with a scan by character."""
+    """Objects in braces in whole texts, turns, pages and the properties of events. Tests compare with a scan by character."""
     texts = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").union(table(spark, d, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn"), "text"))
+    texts = texts.union(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id"), "html")).union(table(spark, d, "events").select(F.concat(F.lit("e"), "event_id"), "props"))
     return texts.select("id", F.explode(R.json_objects("text")).alias("object"))
 
 
