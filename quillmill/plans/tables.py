@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import readers as S
+from ..streaming import approval as P
 from ..streaming import streams as W
 from .registry import query, table
 
@@ -101,6 +104,29 @@ def _(spark, d):
     return W.evidence_batch(_evidence(table(spark, d, "events")))
 
 
+def _claims(e):
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rule"), F.col("event_type").alias("file"), (F.col("value") > 1).alias("ok"), F.col("event_id").alias("seq"), F.col("at"))
+
+
+@query("st_approval", """
+WITH e AS (SELECT 'u' || user_id AS rule, event_type AS file, value > 1 AS ok, event_id AS seq, ts AS t, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS stop FROM events),
+c AS (SELECT * FROM e WHERE t <= stop),
+l AS (SELECT rule, max((t, seq)) FILTER (NOT ok) AS last, count(*) FILTER (NOT ok)::INT AS rejected, any_value(stop) AS stop FROM c GROUP BY rule),
+f AS (SELECT c.rule, c.file, min(c.t) AS t FROM c JOIN l USING (rule) WHERE c.ok AND (l.last IS NULL OR (c.t, c.seq) > l.last) GROUP BY c.rule, c.file),
+n AS (SELECT rule, count(*)::INT AS files, list_sort(list(t))[3] AS reached FROM f GROUP BY rule)
+SELECT l.rule, l.rejected, coalesce(n.files, 0) AS files, coalesce(n.reached + INTERVAL 12 HOUR <= l.stop, false) AS approved FROM l LEFT JOIN n USING (rule)""")
+def _(spark, d):
+    """Users whom three kinds of events have confirmed since the last rejection, approved after twelve hours without one: a stream over all events, up to its watermark."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = W.run_to_table(P.approvals(_claims(_events(spark, d)), 3, timedelta(hours=12), "1 hour"), S.scratch(spark, "approval"))
+    finally:
+        spark.conf.set(name, old)
+    return P.last_rows(found)
+
+
 @query("st_asof", """SELECT a.event_id, b.event_id AS before_id FROM (SELECT * FROM events WHERE event_id % 10 = 0) a ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 10 <> 0) b ON a.user_id = b.user_id AND a.ts > b.ts""")
 def _(spark, d):
     """The last earlier event of the same key: a union and one window, no join."""
