@@ -12,7 +12,7 @@ from .scan import RULES
 # fixed values: defences by type of finding, entries of input, definitions, languages that have defences, and thresholds of tiers
 RUNS_A_SHELL = [
     r"\b(?:sh|bash|zsh|dash|ksh|ash|cmd|powershell|pwsh)\s*[\"']?\s*,",
-    r"--(?:upload|receive)-pack|--upload-archive",
+    r"--(?:upload|receive)-pack",
     r"[-\-](?:exec|execdir|ok|okdir)\b",
     r"\b(?:python\d*|perl|ruby|node|php|lua|rscript)\s*[\"']?\s*,\s*[\"']?-['\"cer]",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import replies as R
 from ..functions import text as T
 from ..functions import verdicts as V
 from .registry import query, table
@@ -154,7 +155,7 @@ _REPLY = "concat('1. look at line ', CAST(doc_id % 50 AS STRING), '\\n2. 第 ',
 SELECT doc_id, (doc_id % 2 = 0) AS has_vulnerability, 'CWE-' || (doc_id % 97) AS vulnerability_type, 2 AS n_steps, array_to_string([doc_id % 9, doc_id % 50, 7], ',') AS refs FROM documents""")
 def _(spark, d):
     r = table(spark, d, "documents").select("doc_id", F.expr(_REPLY).alias("r"))
-    r = r.withColumn("v", F.from_json(T.last_json_block("r"), "has_vulnerability string, vulnerability_type string"))
+    r = r.withColumn("v", R.verdict_of("r"))
     body = T.analysis_body("r")
     return r.select("doc_id", V.coerce_bool("v.has_vulnerability").alias("has_vulnerability"), F.col("v.vulnerability_type").alias("vulnerability_type"), T.reasoning_steps(body).alias("n_steps"), F.array_join(T.line_refs(body), ",").alias("refs"))
 

@@ -81,3 +81,24 @@ def test_bootstrap_equals_single_draws(spark):
 def test_hard_samples_overlap(spark):
     df = spark.createDataFrame([(1, True, False, ["A"], [], 20.0), (2, True, True, ["A"], ["B"], 1.0), (3, False, None, [], [], None)], "doc_id long, expected boolean, predicted boolean, expected_cwes array<string>, model_cwes array<string>, elapsed double")
     assert sorted((r.doc_id, r.kind) for r in M.hard_samples(df, 10.0).collect()) == [(1, "fn"), (1, "slow"), (2, "class_mismatch")]
+
+
+VERDICTS = [
+    (None, None), ("", None), ("no json", None),
+    ('x ```json\n{"has_vulnerability": true, "sink": "a } b"}\n``` y', ("fence", "true", "a } b")),
+    ('```json\n{"has_vulnerability": true}\n``` then ```json\n{"has_vulnerability": false}\n```', ("fence", "false", None)),
+    ('```json\n{"has_vulnerability": true}\n``` then ```\n{"other": 1}\n```', ("fence", "true", None)),
+    ('says {"note": 1} and {"has_vulnerability": null, "sink": "s"} end', ("text", None, "s")),
+    ('{"outer": {"has_vulnerability": "maybe", "sink": "in"}}', ("text", "maybe", "in")),
+    ('{ open, then {"has_vulnerability": 1}', ("text", "1", None)),
+    ('{"has_vulnerability": true, "sink": "line 3", "line 4", "risk_level": "High"}', ("text", "true", "line 3 line 4")),
+    ('{"has_vulnerability": true, "sink": "<a class="x">", "risk_level": "High"}', ("fields", "true", '<a class="x">')),
+    ("- **has_vulnerability**: false\n- **sink**: none\n", ("fields", "false", "none")),
+    ("has_vulnerability: perhaps", None),
+]
+
+
+def test_tiers_of_a_verdict(spark):
+    rows = [(i, r) for i, (r, _) in enumerate(VERDICTS)]
+    got = {r.i: (r.v.tier, r.v.has_vulnerability, r.v.sink) if r.v.tier else None for r in spark.createDataFrame(rows, "i int, r string").select("i", R.verdict_of("r").alias("v")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(VERDICTS)}
