@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the session's checkpoint folder. Where neither is set, a local session gets a temporary folder and a cluster an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not found:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="quillmill-"))
+        found = _OWN[0]
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the checkpoint folder, which spark.checkpoint.dir names; a temporary one only if it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-"))
-    return df.checkpoint(eager=True)
+    """df computed once, written as Parquet to the shared folder and read back: survives lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import readers as S
+from ..sources import windows as N
 from ..streaming import approval as P
 from ..streaming import streams as W
 from .registry import query, table
@@ -87,6 +88,16 @@ def _(spark, d):
     return W.run_to_table(W.fresh(_events(spark, d), "event_id", "at", "1 day").select("event_id"), S.scratch(spark, "fresh"))
 
 
+@query("src_windows", "SELECT event_id, strftime(date_trunc('day', ts), '%Y%m%dT000000') AS window FROM events")
+def _(spark, d):
+    """All events taken over day by day: a run that stops after five days, and one that resumes."""
+    events = table(spark, d, "events")
+    path = S.scratch(spark, "taken")
+    N.take_over(events, "ts", timedelta(days=1), path, most=5)
+    N.take_over(events, "ts", timedelta(days=1), path)
+    return N.taken(events, path).select("event_id", "window")
+
+
 @query("st_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def _(spark, d):

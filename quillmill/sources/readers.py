@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.checkpoints import shared_folder
+
 CORRUPT = "_corrupt_record"
 
 # fixed values: languages by file extension
@@ -111,10 +113,7 @@ def tool_findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def paged_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
