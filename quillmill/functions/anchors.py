@@ -22,6 +22,7 @@ import re
 from bisect import bisect_right
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,7 +46,16 @@ def normal(text: str) -> str:
     for end in ASIDE:
         text = text.strip().partition(end)[0]
     bare = text.replace('(f"', '("').replace("(f'", "('")
-    return "".join(bare.split()).translate({34: None, 39: None}).lower()
+    return "".join(bare.split()).replace("'", "").replace('"', "").lower()
+
+
+def parts_of(content: str) -> tuple[str, str, list[tuple[str, str]], set[str]]:
+    """Normal form of a content, that without CJK words, what is to be found in the lines' normal forms (part, whole or plain), and the pieces among it."""
+    content = content.strip().rstrip(TAIL)
+    whole, plain = normal(content), normal(_CJK.sub("", content))
+    pieces = {p for x in content.split() if len(x) >= PIECE and (p := x.replace("'", "").replace('"', "").lower())} - {x for x in (whole, plain) if len(x) >= PIECE}
+    asked = [(part, name) for part, name in ((whole, "whole"), (plain, "plain")) if len(part) >= PIECE] + [(p, "whole") for p in pieces]
+    return whole, plain, asked, pieces
 
 
 class LineIndex:
@@ -58,6 +68,9 @@ class LineIndex:
         self._equal: dict[str, list[int]] = {}
         for i, w in enumerate(self.whole):
             self._equal.setdefault(w, []).append(i)
+        for i, (w, p) in enumerate(zip(self.whole, self.plain, strict=True)):
+            if p and p != w:
+                self._equal.setdefault(p, []).append(i)
         self.fits = [not _DECLARES.match(x) for x in self.lines]
         self._texts = {}
         for name, rows in (("whole", self.whole), ("plain", self.plain)):
@@ -67,9 +80,35 @@ class LineIndex:
                 at += len(r) + 1
             self._texts[name] = ("\n".join(rows), starts)
         self._words: dict[str, list[int]] | None = None
+        self._held: dict[tuple[str, str], list[int]] = {}
+        self._parts: dict[str, tuple] = {}
+
+    def look_for(self, contents: list[str]) -> None:
+        """Finds the lines that hold what the contents ask for, all in one pass over the text."""
+        asked: dict[str, set[str]] = {"whole": set(), "plain": set()}
+        for c in contents:
+            self._parts[c] = parts_of(c)
+            for part, name in self._parts[c][2]:
+                asked[name].add(part)
+        for name, parts in asked.items():
+            if len(parts) < 4:
+                continue  # as quick to find one by one
+            words = ahocorasick.Automaton()
+            for p in parts:
+                words.add_word(p, p)
+                self._held[p, name] = []
+            words.make_automaton()
+            text, starts = self._texts[name]
+            for end, p in words.iter(text):
+                i = bisect_right(starts, end) - 1
+                held = self._held[p, name]
+                if not held or held[-1] != i:
+                    held.append(i)
 
     def holding(self, part: str, name: str) -> list[int]:
         """Numbers, from 0, of the lines that hold a part."""
+        if (part, name) in self._held:
+            return self._held[part, name]
         text, starts = self._texts[name]
         out, at = [], text.find(part)
         while at >= 0:
@@ -88,21 +127,19 @@ class LineIndex:
         return {i for w in set(_WORD.findall(content.lower())) for i in self._words.get(w, ())}
 
     def find(self, content: str, cited: int) -> int | None:
-        content = content.strip().rstrip(TAIL)
-        whole = normal(content)
+        whole, plain, asked, pieces = self._parts.get(content) or parts_of(content)
         if not whole:
             return None
-        plain = normal(_CJK.sub("", content))
-        pieces = {p for x in content.split() if len(x) >= PIECE and (p := x.translate({34: None, 39: None}).lower())}
-        score: dict[int, float] = {}
-        for p in pieces:
-            score |= dict.fromkeys(self.holding(p, "whole"), HOLDS_PIECE)
-        for part, name in ((whole, "whole"), (plain, "plain")):
-            if len(part) >= PIECE:
+        score = dict.fromkeys([*self._equal.get(whole, ()), *(self._equal.get(plain, ()) if plain else ())], HOLDS)
+        for part, name in asked:
+            if part not in pieces:
                 score |= dict.fromkeys(self.holding(part, name), HOLDS)
-        score |= dict.fromkeys(self._equal.get(whole, ()), HOLDS)
+        if not any(self.fits[i] for i in score):  # pieces count for less than what is found then
+            for p in pieces:
+                for i in self.holding(p, "whole"):
+                    score.setdefault(i, HOLDS_PIECE)
         best = max((s for i, s in score.items() if self.fits[i]), default=LEAST)
-        for i in self.sharing(content):
+        for i in self.sharing(content) if best < HOLDS else ():
             if i in score or not self.fits[i]:
                 continue
             near = 0.0
@@ -127,6 +164,7 @@ def reanchor(text: str | None, code: str | None) -> tuple[str | None, list[tuple
     ends = [m.start() for m in marks[1:]] + [len(text)]
     contents = [text[m.end() : e].rstrip() if e < len(text) else text[m.end() : e] for m, e in zip(marks, ends, strict=True)]
     cited = [int(m.group(1) or m.group(2)) for m in marks]
+    index.look_for(contents)
     lines = [index.find(c, n) for c, n in zip(contents, cited, strict=True)]
     apart = {f - n for f, n in zip(lines, cited, strict=True) if f is not None}
     if len(apart) == 1:

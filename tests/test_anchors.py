@@ -46,7 +46,7 @@ def plain_find(content, lines, cited):
         if not whole or re.match(A.DECLARES, line):
             continue
         n, p = A.normal(line), A.normal(re.sub(A.CJK, "", line))
-        if whole == n or (len(whole) >= 8 and whole in n) or (len(plain) >= 8 and plain in p):
+        if whole == n or (plain and plain == p) or (len(whole) >= 8 and whole in n) or (len(plain) >= 8 and plain in p):
             s = 1.0
         elif any(x and x in n for x in pieces):
             s = 0.95
