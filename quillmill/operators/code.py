@@ -134,14 +134,19 @@ def derived(tokens: DataFrame, key: str, rules: DataFrame, hops: int = 2) -> Dat
     return found.join(defs.where("kind = 'assign'").select(key, "head", "var", "line"), [key, "head"]).select(key, "head", "var", "line", "hop")
 
 
-def _node(kind: str, *parts) -> Column:
-    return F.concat(F.lit(kind), F.concat_ws(".", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+#: Nodes are long integers: what they are, the token they belong to and, of arguments and parameters, the number.
+_KINDS = {"d": 0, "c": 1, "a": 2, "p": 3}
+
+
+def _node(kind: str, seq: str | Column, n: str | Column | None = None) -> Column:
+    at = F.shiftleft((F.col(seq) if isinstance(seq, str) else seq).cast("long"), 26) + F.lit(_KINDS[kind] << 58)
+    return at if n is None else at + (F.col(n) if isinstance(n, str) else n)
 
 
 def _container() -> Column:
     """Where the value of a token goes first: an argument of the innermost call, or the assignment or return."""
     last = F.element_at("within", -1)
-    return F.when(F.size("within") > 0, F.concat(F.lit("a"), F.concat_ws(".", last["call"].cast("string"), last["n"].cast("string")))).when(F.col("head").isNotNull(), _node("d", "head"))
+    return F.when(F.size("within") > 0, _node("a", last["call"], last["n"])).when(F.col("head").isNotNull(), _node("d", "head"))
 
 
 def _edges(tokens: DataFrame, key: str, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,7 +165,7 @@ def _edges(tokens: DataFrame, key: str, rules: DataFrame) -> tuple[DataFrame, Da
     # a method hands on its object: the bracket of a call comes right behind the callee
     owner = names.where("kind = 'callee' AND contains(text, '.')").withColumn("call", F.col("seq") + 1).join(opaque, [key, "call"], "left_anti").select(key, origin.alias("a"), _node("c", "call").alias("b"), "line")
     onward = calls.select(key, _node("c", "seq").alias("a"), _container().alias("b"), "line")
-    edges = by_name.union(through).union(owner).union(onward).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    edges = by_name.union(through).union(owner).union(onward).where("a IS NOT NULL AND b IS NOT NULL")
     returns = defs.where("kind = 'return' AND scope <> 0").select(key, F.col("scope").alias("f"), _node("d", "head").alias("node"))
     return cut(edges), known, cut(returns)
 
@@ -177,23 +182,22 @@ def summaries(edges: DataFrame, known: DataFrame, returns: DataFrame, key: str)
     A fixpoint: each round takes all that is reached one edge further, and over calls by the summaries known so far.
     """
     entries = cut(_entries(known, key))
-    reached = cut(entries.select(key, "f", "n").distinct().withColumn("node", _node("p", "f", "n")))
-    many, done = reached.count(), cut(reached.select(key, "f", "n").limit(0))
-    while many:
-        step = reached.join(edges.select(key, F.col("a").alias("node"), "b"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node"))
-        over = entries.join(done, [key, "f", "n"]).select(key, F.col("a").alias("node"), _node("c", "call").alias("b"))
-        step = step.union(reached.join(over, [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
-        reached = cut(reached.union(step).distinct())
-        done = cut(reached.join(returns, [key, "f", "node"], "left_semi").select(key, "f", "n").distinct())
-        now = reached.count()
-        if now == many:
-            # the last summaries may open calls that are reached already
-            over = entries.join(done, [key, "f", "n"]).select(key, F.col("a").alias("node"), _node("c", "call").alias("b"))
-            more = reached.join(over, [key, "node"]).select(key, "f", "n", F.col("b").alias("node")).join(reached, [key, "f", "n", "node"], "left_anti")
-            if not more.limit(1).count():
-                break
-        many = now
-    return done
+    along = edges.select(key, F.col("a").alias("node"), "b")
+    over = entries.select(key, F.col("f").alias("g"), F.col("n").alias("m"), F.col("a").alias("node"), _node("c", "call").alias("b"))
+    new = cut(entries.select(key, "f", "n").distinct().withColumn("node", _node("p", "f", "n")))
+    reached, done, fresh = new, None, None
+    while new.limit(1).count():
+        found = new.join(returns, [key, "f", "node"], "left_semi").select(key, F.col("f").alias("g"), F.col("n").alias("m")).distinct()
+        fresh = cut(found if done is None else found.join(done, [key, "g", "m"], "left_anti"))
+        done = fresh if done is None else cut(done.union(fresh))
+        # an edge further from what is new, over calls by known summaries, and from all over calls by new ones
+        step = new.join(along, [key, "node"]).select(key, "f", "n", F.col("b").alias("node"))
+        step = step.union(new.join(over.join(done, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
+        if fresh.limit(1).count():
+            step = step.union(reached.join(over.join(fresh, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
+        new = cut(step.distinct().join(reached, [key, "f", "n", "node"], "left_anti"))
+        reached = reached.union(new)
+    return done.select(key, F.col("g").alias("f"), F.col("m").alias("n")) if done is not None else entries.select(key, "f", "n").limit(0)
 
 
 def flows(tokens: DataFrame, key: str, rules: DataFrame, most: int = MOST_PATHS) -> DataFrame:
@@ -203,12 +207,18 @@ def flows(tokens: DataFrame, key: str, rules: DataFrame, most: int = MOST_PATHS)
     lines, are kept (null: all). Texts without sources or sinks give no rows.
     """
     tokens = cut(tokens)
+    # texts without a source or without a sink have no flow
+    words = tokens.where("kind IN ('name', 'call', 'assign')").select(key, "kind", "text")
+    begins = _named(words.where("kind <> 'assign'"), rules, "source").select(key)
+    ends = _named(words.where("kind <> 'name'"), rules, "sink").select(key)
+    both = cut(begins.distinct().join(ends.distinct(), key))
+    tokens = cut(tokens.join(both, key, "left_semi"))
     edges, known, returns = _edges(tokens, key, rules)
     entries = _entries(known, key)
     over = entries.join(summaries(edges, known, returns, key), [key, "f", "n"]).select(key, "a", _node("c", "call").alias("b"), "line")
     up = known.join(returns, [key, "f"]).select(key, F.col("node").alias("a"), _node("c", "call").alias("b"), "line")
     down = entries.select(key, "a", _node("p", "f", "n").alias("b"), F.col("f_line").alias("line"))
-    steps = cut(edges.union(over).withColumn("way", F.lit(0)).union(up.withColumn("way", F.lit(1))).union(down.withColumn("way", F.lit(2))).distinct())
+    steps = cut(edges.union(over).withColumn("way", F.lit(0)).union(up.withColumn("way", F.lit(1))).union(down.withColumn("way", F.lit(2))))
 
     flat = tokens.withColumn("node", F.when(F.col("kind") == "call", _node("c", "seq")).otherwise(_container()))
     spots = flat.where("kind IN ('name', 'call') AND node IS NOT NULL")
