@@ -212,7 +212,7 @@ def flows(tokens: DataFrame, key: str, rules: DataFrame, most: int = MOST_PATHS)
     begins = _named(words.where("kind <> 'assign'"), rules, "source").select(key)
     ends = _named(words.where("kind <> 'name'"), rules, "sink").select(key)
     both = cut(begins.distinct().join(ends.distinct(), key))
-    tokens = cut(tokens.join(both, key, "left_semi"))
+    tokens = tokens.join(both, key, "left_semi")
     edges, known, returns = _edges(tokens, key, rules)
     entries = _entries(known, key)
     over = entries.join(summaries(edges, known, returns, key), [key, "f", "n"]).select(key, "a", _node("c", "call").alias("b"), "line")
