@@ -56,9 +56,13 @@ PARENT = {"CWE-917": "CWE-94", "CWE-1336": "CWE-94", "CWE-80": "CWE-79", "CWE-95
 
 def _first(text: Column, table) -> Column:
     """The label of the first row of the table with a keyword in the text; null without one."""
-    low = F.lower(text)
-    found = [F.when(F.greatest(*[low.rlike(rf"(?U)\b{k}\b") if k in WHOLE_WORDS else F.contains(low, F.lit(k)) for k in keys], F.lit(False)), F.lit(label)) for keys, label in table]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+
+    def found(low: Column) -> Column:
+        hits = [F.when(F.greatest(*[low.rlike(rf"(?U)\b{k}\b") if k in WHOLE_WORDS else F.contains(low, F.lit(k)) for k in keys], F.lit(False)), F.lit(label)) for keys, label in table]
+        return F.coalesce(*hits, F.lit(None).cast("string"))
+
+    # bound as a variable, the text is lower-cased once and not for every keyword
+    return F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))
 
 
 def class_label(raw) -> Column:

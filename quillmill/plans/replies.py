@@ -30,8 +30,8 @@ def _(spark, d):
 @query("fn_class_label_texts", "SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ') IN ('', 'none') THEN 'none' WHEN regexp_matches(lower(text), 'nosql|no sql|no-sql') THEN 'CWE-943' WHEN contains(lower(text), 'sql') THEN 'CWE-89' ELSE 'other' END AS class FROM documents")
 def _(spark, d):
     """Which of the first two classes whole texts name."""
-    label = L.class_label("text")
-    return table(spark, d, "documents").select("doc_id", F.when(label == "none", "none").when(label.isin(L.LABELS[0][1], L.LABELS[1][1]), F.regexp_extract(label, "^CWE-[0-9]+", 0)).otherwise("other").alias("class"))
+    label = F.col("label")
+    return table(spark, d, "documents").select("doc_id", L.class_label("text").alias("label")).select("doc_id", F.when(label == "none", "none").when(label.isin(L.LABELS[0][1], L.LABELS[1][1]), F.regexp_extract(label, "^CWE-[0-9]+", 0)).otherwise("other").alias("class"))
 
 
 @query("fn_class_evidence", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'CWE-352 Cross-Site Request Forgery' WHEN 1 THEN 'CWE-639 other' WHEN 2 THEN 'CWE-1321 Improperly Controlled Modification of Object Prototype Attributes (''Prototype Pollution'')'
