@@ -6,7 +6,8 @@ later version, a deletion appends marks, and what counts is the last version of
 write after a failure gives the same rows again.
 
 A search asks the `probes` nearest cells of each query; with all cells it is exact. Vectors aren't shuffled: each task scores its rows against the
-queries that ask their cell and keeps k a query. Recall against the exact search is for the caller to measure (recall()).
+queries that ask their cell and keeps k a query. How many cells a collection needs depends on its vectors:
+tune() measures it on a few queries, and recall() holds all queries against the exact search.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .ranking import top_k
 SAMPLE, CELLS, PROBES = 20_000, 32, 18
 #: Queries that go to every task at once.
 QUERY_BLOCK = 2_000
+#: Rows of a batch that are scored at once.
+PIECE = 1_000
+#: Queries that tune() measures, and the recall it asks for.
+TUNED, AIM = 200, 0.96
 
 
 def fit_centers(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, sample: int = SAMPLE, seed: int = 7) -> list[list[float]]:
@@ -113,6 +118,19 @@ class VectorStore:
     def count(self) -> int:
         return self.live().count()
 
+    def tune(self, queries: DataFrame, k: int, aim: float = AIM, least: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> int:
+        """The fewest cells, `least` or more, that give a recall of `aim` for up to TUNED of the queries, those of the smallest hashes; measured against all cells."""
+        centers = self.centers()
+        some = queries.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(TUNED).select(id_col, vec_col)
+        cells = self.live().select("id", "cell")
+        exact = self.search(some, k, len(centers), id_col, vec_col).join(cells, "id").select(F.col("query_id").alias("q"), "cell").collect()  # TUNED * k rows
+        if not exact:
+            return least
+        vs = {r[0]: r[1] for r in some.collect()}
+        places = {q: np.argsort(_nearest(np.array([v], np.float64), centers, len(centers))[0]) for q, v in vs.items()}
+        asked = np.sort([int(places[r["q"]][r["cell"]]) + 1 for r in exact])
+        return max(least, int(asked[min(len(asked), int(np.ceil(aim * len(asked)))) - 1]))
+
     def search(self, queries: DataFrame, k: int, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding", where: dict[str, str] | None = None) -> DataFrame:
         """(query_id, id, distance, rank): of each query the k nearest rows in the cells asked, by squared distance, then id. where: metadata that rows must have."""
         centers = self.centers()
@@ -130,13 +148,13 @@ class VectorStore:
 
             def run(parts, ids=ids, vs=vs, of_cell=of_cell):
                 dist, near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-                for p in parts:
+                for p in (x.iloc[lo : lo + PIECE] for x in parts for lo in range(0, len(x), PIECE)):
                     own, cell = p["id"].to_numpy(np.int64), p["cell"].to_numpy()
                     x = np.array(p["vector"].tolist(), np.float64)
                     for c in np.unique(cell).tolist():
                         at, q = np.flatnonzero(cell == c), of_cell[c]
-                        for lo in range(0, len(q) if len(at) else 0, max(1, 4_000_000 // (len(at) * x.shape[1]))):
-                            some = q[lo : lo + max(1, 4_000_000 // (len(at) * x.shape[1]))]
+                        for lo in range(0, len(q) if len(at) else 0, max(1, 500_000 // (len(at) * x.shape[1]))):
+                            some = q[lo : lo + max(1, 500_000 // (len(at) * x.shape[1]))]
                             new = ((vs[some][:, None, :] - x[at][None, :, :]) ** 2).sum(2)
                             d = np.concatenate([dist[some], new], 1)
                             j = np.concatenate([near[some], np.broadcast_to(own[at], new.shape)], 1)
