@@ -9,6 +9,8 @@ from .ranking import top_k
 
 #: Up to so many query vectors go to every task; more are joined in blocks of that size.
 QUERY_BLOCK = 2_000
+#: Rows of a batch that are compared at once.
+PIECE = 1_000
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: str | None = None) -> DataFrame:
@@ -35,16 +37,16 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec
                 return
             best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for p in parts:
-                x = np.array(p["v"].tolist(), np.float64)
-                if not len(x):
-                    continue
-                own = p["id"].to_numpy(np.int64)
-                for a in range(0, len(ids), 256):
-                    dist = ((vs[a : a + 256, None, :] - x[None, :, :]) ** 2).sum(2) if len(x) * vs.shape[1] < 200_000 else np.stack([((x - v) ** 2).sum(1) for v in vs[a : a + 256]])
-                    d = np.concatenate([best_d[a : a + 256], dist], 1)
-                    j = np.concatenate([best_i[a : a + 256], np.broadcast_to(own, (len(dist), len(own)))], 1)
-                    order = np.lexsort((j, d), axis=1)[:, :k]
-                    best_d[a : a + 256], best_i[a : a + 256] = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
+                # a batch is compared in pieces, so that distances and their orders stay small
+                for lo in range(0, len(p), PIECE):
+                    some = p.iloc[lo : lo + PIECE]
+                    x, own = np.array(some["v"].tolist(), np.float64), some["id"].to_numpy(np.int64)
+                    for a in range(0, len(ids), 256):
+                        dist = np.stack([((x - v) ** 2).sum(1) for v in vs[a : a + 256]])
+                        d = np.concatenate([best_d[a : a + 256], dist], 1)
+                        j = np.concatenate([best_i[a : a + 256], np.broadcast_to(own, (len(dist), len(own)))], 1)
+                        order = np.lexsort((j, d), axis=1)[:, :k]
+                        best_d[a : a + 256], best_i[a : a + 256] = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
             ok = np.isfinite(best_d)
             yield pd.DataFrame({"query_id": np.repeat(ids, k)[ok.ravel()], "id": best_i[ok], "distance": best_d[ok]})
 
