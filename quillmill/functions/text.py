@@ -189,3 +189,15 @@ def paragraph_pack(c, most: int) -> Column:
 
     packed = F.aggregate(ps, start, step, lambda acc: acc["t"])
     return F.when(packed == "", F.left(F.coalesce(col(c), F.lit("")), F.lit(most))).otherwise(packed)
+
+
+#: Texts of an Arrow batch that are Python objects at once.
+SLICE = 128
+
+
+def by_slices(f, kind, *columns):
+    """An Arrow array of `kind` of f over the rows of Arrow arrays: only SLICE rows at a time are Python objects, whatever a batch holds."""
+    import pyarrow as pa
+
+    made = [pa.array([f(*row) for row in zip(*(c.slice(at, SLICE).to_pylist() for c in columns), strict=True)], kind) for at in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
