@@ -2,17 +2,18 @@
 
 A page is cut into text lines, one for each block, each with a zone: the article (inside `article` or
 `main`), apparatus (menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, by
-element name, class, id or role), or other. A page that marks its article is its article's lines. In a page that doesn't,
-the article must be told from the template: the page is paired with the page of the same host whose URL path is
-nearest in path order, the lines of both are aligned by a longest common subsequence, and the lines they
-share are deleted. A pair that shares more than COPY_SHARE of the page's characters may be two copies of one
+element name, class, id or role), or other. Every page is paired with the page of the same host whose URL path is
+nearest in path order, the lines of both are aligned by a longest common subsequence, and what they share is taken for the template.
+In a page that doesn't mark its article, the lines they share are deleted. A pair that shares more than COPY_SHARE of the page's characters may be two copies of one
 text, which is no evidence of a template: then the page on the other side, and after it the nearest pages outside the page's run of
 copies (pages of a host in path order, each a copy of the one before), are asked in turn, and the first that isn't a copy decides.
 Where none is left and the host has three or more different pages, all are taken for short texts in one large template, and the nearest page
 with other lines decides; with fewer, nothing is deleted.
 
-Lines inside a marked article are never deleted by differencing: articles do share passages with their
-neighbours, and those belong to the text.
+In a page that marks articles, each innermost `article` or `main` is one part: a part whose every line is shared (cards of other
+articles, the same on each page) is template and goes. Tags are the check behind it: of a part with a line of its own no line goes,
+since articles do share passages with their neighbours, and lines outside the parts are no text. A neighbour that shares more than COPY_SHARE of
+the parts' characters may be a copy, for which nothing goes.
 
 Defined results: null and empty html give an empty text; pages without a usable URL, or alone on their host, have
 no neighbour; repeated rows are separate pages; an empty table gives an empty result; other columns are ignored.
@@ -70,16 +71,21 @@ def _apparatus(name: str, attributes: str, in_article: bool) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The text lines of a page in order, each with its zone."""
-    out: list[tuple[str, int]] = []
+    return [(text, zone) for text, zone, _ in parts_of(page)]
+
+
+def parts_of(page: str) -> list[tuple[str, int, int]]:
+    """The text lines of a page in order, each with its zone and the number of the innermost article or main around it (0: none)."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements with the zone inside them
-    zone = OTHER
+    stack: list[tuple[str, int, int]] = []  # open elements with the zone and the part inside them
+    zone, part, parts = OTHER, 0, 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
         if text:
-            out.append((text, zone))
+            out.append((text, zone, part))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -111,28 +117,29 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             else:
                 if name not in _INLINE:
                     flush()
-            zone = stack[-1][1] if stack else OTHER
+            zone, part = stack[-1][1:] if stack else (OTHER, 0)
             continue
         if name in _VOID:
             if name == "hr":
                 flush()
             continue
-        inside = zone
+        inside, within = zone, part
         if name not in _INLINE:
             flush()
             while stack and (stack[-1][0] in _CLOSED_BY_BLOCK or stack[-1][0] in _INLINE):  # unclosed paragraphs and what they left open
                 stack.pop()
-            zone = inside = stack[-1][1] if stack else OTHER
+            zone, part = inside, within = stack[-1][1:] if stack else (OTHER, 0)
         if zone != APPARATUS:
             if _apparatus(name, m.group(4), zone == MAIN):
                 inside = APPARATUS
             elif name in _ARTICLE:
-                inside = MAIN
+                inside, parts = MAIN, parts + 1
+                within = parts
         if name in _INLINE and inside != zone:
             flush()
         if not m.group(4).endswith("/"):
-            stack.append((name, inside))
-            zone = inside
+            stack.append((name, inside, within))
+            zone, part = inside, within
     held.append(page[at:])
     flush()
     return out
@@ -177,26 +184,39 @@ def _mark(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-_PARSED = "rid bigint, page_id bigint, url string, text string, lines array<string>, marks array<bigint>, sizes array<int>"
+def template_parts(parts: list[int], marks: list[int], sizes: list[int], other: list[int]) -> list[int]:
+    """The parts whose every line is shared with the neighbour; none of a page that may be a copy of it."""
+    same = set(shared(marks, other))
+    if sum(sizes[i] for i in same) > COPY_SHARE * sum(sizes):
+        return []
+    return sorted(set(parts) - {p for i, p in enumerate(parts) if i not in same})
+
+
+_PARSED = "rid bigint, page_id bigint, url string, main array<string>, parts array<int>, main_marks array<bigint>, main_sizes array<int>, lines array<string>, marks array<bigint>, sizes array<int>"
+_KINDS = [pa.list_(t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32())]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the marked parts and of the rest; the lines of the rest are kept as texts only where nothing is marked."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            texts, lines, marks, sizes = [], [], [], []
+            rows = []
             for page in some.column(3):
-                found = lines_of(page.as_py() or "")
-                main = [t for t, z in found if z == MAIN]
-                texts.append("\n\n".join(main) if main else None)
-                kept = [t for t, z in found if z == OTHER]
-                lines.append(None if main else kept)
-                marks.append([_mark(t) for t in kept])
-                sizes.append([len(t) for t in kept])
-            yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(1), some.column(2), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                names=["rid", "page_id", "url", "text", "lines", "marks", "sizes"],
-            )
+                found = parts_of(page.as_py() or "")
+                main = [(t, p) for t, z, p in found if z == MAIN]
+                kept = [t for t, z, _ in found if z == OTHER]
+                texts = [t for t, _ in main]
+                rows.append((texts, [p for _, p in main], [_mark(t) for t in texts], [len(t) for t in texts], None if main else kept, [_mark(t) for t in kept], [len(t) for t in kept]))
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), *cols], names=[x.split(" ")[0] for x in _PARSED.split(", ")])
+
+
+def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of each page that its neighbour has as well."""
+    for batch in batches:
+        gone = [template_parts(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +340,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: rid (its position), page_id, url, text."""
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     parsed = saved(rows.mapInArrow(_parse, _PARSED), "parsed")
-    marked = parsed.where("text IS NOT NULL").select("rid", "page_id", "url", "text")
-    open_ = parsed.where("text IS NULL")
-    other = neighbours(parsed.select("rid", "url")).join(parsed.select(F.col("rid").alias("other"), F.col("marks").alias("other_marks")), "other").select("rid", "other_marks")
+    beside = saved(neighbours(parsed.select("rid", "url")), "beside")
+    theirs = parsed.select(F.col("rid").alias("other"), F.col("marks").alias("other_marks"), F.when(F.size("main") > 0, F.col("main_marks")).otherwise(F.col("marks")).alias("other_main"))
+    pairs = parsed.where("size(main) > 0").select("rid", "parts", "main_marks", "main_sizes").join(beside, "rid").join(theirs.select("other", "other_main"), "other")
+    gone = saved(pairs.select("rid", "parts", "main_marks", "main_sizes", "other_main").mapInArrow(_template, "rid bigint, gone array<int>").where("size(gone) > 0"), "template")
+    whole = parsed.where("size(main) > 0").select("rid", "page_id", "url", "main", "parts").join(gone, "rid", "left")
+    own = F.when(F.col("gone").isNull(), F.col("main")).otherwise(F.filter("main", lambda _, i: ~F.array_contains("gone", F.get("parts", i))))
+    marked = whole.select("rid", "page_id", "url", F.array_join(own, "\n\n").alias("text"))
+    open_ = parsed.where("size(main) = 0")
+    other = beside.join(theirs.select("other", "other_marks"), "other").select("rid", "other_marks")
     differed = saved(open_.join(other, "rid", "left").select("rid", "page_id", "url", "lines", "marks", "other_marks").mapInArrow(_differ, "rid bigint, page_id bigint, url string, text string"), "differed")
     stuck = differed.where("text IS NULL")
     out = marked.union(differed.where("text IS NOT NULL"))

@@ -110,3 +110,12 @@ def test_neighbours_against_brute_force(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert H.main_text(pages(spark, tmp_path, [], "none")).count() == 0
+
+
+def test_cards_that_all_pages_have_are_no_article(spark, tmp_path):
+    cards = "<section><article><h3>Card</h3><p>of another article</p></article><article><p>second card</p></article></section>"
+    rows = [(i, f"https://h.example/{i}", f"<main><article><p>shared</p><p>own {'text ' * 30}{i}</p></article>{cards}</main>") for i in range(6)]
+    rows += [(10 + i, f"https://copy.example/{i}", f"<article>the same {'text ' * 30}</article>" + cards) for i in range(2)]
+    out = {r.page_id: r.text for r in H.main_text(pages(spark, tmp_path, rows, "cards")).collect()}
+    assert all(out[i] == f"shared\n\nown {'text ' * 30}{i}" for i in range(6))
+    assert all(out[10 + i] == f"the same {'text ' * 30}".strip() + "\n\nCard\n\nof another article\n\nsecond card" for i in range(2))  # copies tell nothing
