@@ -1,7 +1,8 @@
 """Arguments of calls, origins of values and flows from sources to sinks in program texts, as joins over tokens (functions.lexer.tokens).
 
 Everything is keyed by the text a token comes from: no join leaves a text, and texts are spread over the cluster. What depends on longer and
-longer chains (flows) is computed in rounds, each a join with the edges, and each cut from its lineage in the shared folder.
+longer chains (flows) is computed in rounds, each a join with the edges, and each cut from its lineage in the shared folder. What was cut is never
+broadcast: its files are far smaller than its rows, and the rounds would send a copy each through the driver. Only the rules are.
 
 Flows are linear: a name stands for what was last assigned to it above, in its function or else at the top level. Functions of the same
 text are followed through summaries: which parameters reach the value returned. A flow goes up from returns to callers first and
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut as _written
 
 # fixed values: usual sources, sinks with the class they report and its rank, and what makes a value harmless
 FLOW_RULES = [
@@ -30,6 +31,16 @@ FLOW_RULES = [
 MOST_PATHS = 50
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written once and read back; joins with it, or with what is selected from it, shuffle."""
+    return _wide(_written(df))
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    """df, for a join that shuffles; of unions and joins Spark doesn't hand the hint on."""
+    return df.hint("merge")
+
+
 def flow_rules(spark: SparkSession, rows=FLOW_RULES) -> DataFrame:
     """Rules as rows: role (source, sink, sanitizer), name (of a source the beginning, of the others the end of a dotted name), label, rank."""
     return spark.createDataFrame(rows, "role string, name string, label string, rank int")
@@ -47,7 +58,7 @@ def _named(rows: DataFrame, rules: DataFrame, role: str, text: str = "text") ->
     """rows whose dotted name meets a rule of a role, with label and rank; the rule of the longest name decides."""
     own = rules.where(F.col("role") == role)
     part = _first if role == "source" else _last
-    found = rows.withColumn("__part", part(text)).join(own.select(part("name").alias("__part"), F.col("name").alias("__name"), "label", "rank"), "__part")
+    found = rows.withColumn("__part", part(text)).join(F.broadcast(own.select(part("name").alias("__part"), F.col("name").alias("__name"), "label", "rank")), "__part")
     dotted = F.concat(F.lit("."), text, F.lit("."))
     edge = dotted.startswith(F.concat(F.lit("."), "__name", F.lit("."))) if role == "source" else dotted.endswith(F.concat(F.lit("."), "__name", F.lit(".")))
     best = found.where(edge).groupBy(*[F.col(f"`{c}`") for c in rows.columns if c not in ("within", "params")]).agg(F.max(F.struct(F.length("__name"), "__name", "label", "rank")).alias("__m"))
@@ -71,7 +82,7 @@ def arguments(df: DataFrame, tokens: DataFrame, key: str, code: str) -> DataFram
     name = F.when(F.col("kind") == "name", F.col("text"))
     args = _inside(tokens).groupBy(key, "call", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set(name)).alias("names"), F.bool_and(F.col("kind").isin(*_PLAIN)).alias("constant"))
     whole = df.select(F.col(f"`{key}`"), F.col(f"`{code}`").alias("__code"))
-    return args.join(calls, [key, "call"]).join(whole, key).select(key, "call", "callee", "line", "n", F.expr("substring(__code, start + 1, stop - start)").alias("text"), "names", "constant")
+    return _wide(args.join(calls, [key, "call"])).join(whole, key).select(key, "call", "callee", "line", "n", F.expr("substring(__code, start + 1, stop - start)").alias("text"), "names", "constant")
 
 
 def definitions(tokens: DataFrame, key: str) -> DataFrame:
@@ -92,7 +103,7 @@ def resolved(tokens: DataFrame, defs: DataFrame, key: str, kinds: tuple[str, ...
     params = tokens.where("kind = 'function' AND params IS NOT NULL").select(key, F.col("seq").alias("scope"), F.posexplode("params").alias("__param", "var"))
     params = params.groupBy(key, "scope", "var").agg(F.min("__param").alias("__param"))
     outer = sets.where("scope = 0").groupBy(key, "var").agg(F.max_by("__set", "stmt").alias("__outer"))
-    all_ = own.join(params, [key, "scope", "var"], "left").join(outer, [key, "var"], "left")
+    all_ = _wide(own).join(params, [key, "scope", "var"], "left").join(_wide(outer), [key, "var"], "left")
     param = F.when(F.col("__own").isNull(), F.col("__param"))
     return all_.withColumns({"def": F.coalesce("__own", F.when(param.isNull() & (F.col("scope") != 0), F.col("__outer"))), "param": param}).drop("__own", "__param", "__outer")
 
@@ -101,21 +112,22 @@ def argument_origins(df: DataFrame, tokens: DataFrame, key: str, code: str, hops
     """arguments() with origin: literal; constant (all its names lead to literals in up to `hops` assignments); built (a string is put together from
     other values, there or in an assignment up to `hops` away); variable.
     """
-    defs = definitions(tokens, key)
-    names = resolved(tokens, defs, key)
+    tokens = cut(tokens)  # texts are read once
+    defs = cut(definitions(tokens, key))
+    names = cut(resolved(tokens, defs, key))
     calls_in = tokens.where("kind = 'call' AND head IS NOT NULL").select(key, "head").distinct().withColumn("__calls", F.lit(True))
     known = cut(defs.where("kind = 'assign'").join(calls_in, [key, "head"], "left").select(key, "head", "constant", F.col("built") & ~F.col("constant"), F.coalesce("__calls", F.lit(False)).alias("calls")).toDF(key, "head", "constant", "built", "calls"))
     used = cut(names.where("head IS NOT NULL").select(key, "head", "def"))
     for _ in range(hops - 1):
         ahead = known.select(key, F.col("head").alias("def"), F.col("constant").alias("__c"), F.col("built").alias("__b"))
         seen = used.join(ahead, [key, "def"], "left").groupBy(key, "head").agg(F.bool_and(F.coalesce("__c", F.lit(False))).alias("__all"), F.bool_or(F.coalesce("__b", F.lit(False))).alias("__any"))
-        step = known.join(seen, [key, "head"], "left")
+        step = known.join(_wide(seen), [key, "head"], "left")
         known = cut(step.select(key, "head", (F.col("constant") | (~F.col("calls") & F.coalesce("__all", F.lit(False)))).alias("constant"), (F.col("built") | F.coalesce("__any", F.lit(False))).alias("built"), "calls"))
     ahead = known.select(key, F.col("head").alias("def"), F.col("constant").alias("__c"), (F.col("built") & ~F.col("constant")).alias("__b"))
     inside = _inside(names).join(ahead, [key, "def"], "left").groupBy(key, "call", "n").agg(F.bool_and(F.coalesce("__c", F.lit(False))).alias("__all"), F.bool_or(F.coalesce("__b", F.lit(False))).alias("__any"))
     joins = (F.col("kind") == "template") | ((F.col("kind") == "op") & F.col("text").isin("+", "%")) | ((F.col("kind") == "callee") & _last("text").isin("format", "concat", "join"))
     own = _inside(tokens).groupBy(key, "call", "n").agg(F.bool_or(joins).alias("__joins"), F.bool_or(F.col("kind") == "call").alias("__calls"))
-    args = arguments(df, tokens, key, code).join(inside, [key, "call", "n"], "left").join(own, [key, "call", "n"])
+    args = arguments(df, tokens, key, code).join(_wide(inside), [key, "call", "n"], "left").join(_wide(own), [key, "call", "n"])
     yes = lambda c: F.coalesce(c, F.lit(False))
     origin = F.when(F.col("constant"), "literal").when(yes("__all") & ~F.col("__calls"), "constant").when(F.col("__joins") | yes("__any"), "built").otherwise("variable")
     return args.select(key, "call", "callee", "line", "n", "text", "names", origin.alias("origin"))
@@ -123,13 +135,14 @@ def argument_origins(df: DataFrame, tokens: DataFrame, key: str, code: str, hops
 
 def derived(tokens: DataFrame, key: str, rules: DataFrame, hops: int = 2) -> DataFrame:
     """(key, head, var, line, hop): assignments whose value names a source (hop 0), or a variable set by such an assignment, up to `hops` further ones."""
-    defs = definitions(tokens, key)
+    tokens = cut(tokens)
+    defs = cut(definitions(tokens, key))
     used = cut(resolved(tokens, defs, key).where("head IS NOT NULL").select(key, "head", "def"))
     spots = tokens.where("kind IN ('name', 'callee') AND head IS NOT NULL")
     found = cut(_named(spots, rules, "source").select(key, "head").distinct().withColumn("hop", F.lit(0)))
     edge = found
     for hop in range(1, hops + 1):
-        edge = cut(used.join(edge.select(key, F.col("head").alias("def")), [key, "def"]).select(key, "head").distinct().join(found, [key, "head"], "left_anti").withColumn("hop", F.lit(hop)))
+        edge = cut(used.join(edge.select(key, F.col("head").alias("def")), [key, "def"]).select(key, "head").distinct().join(_wide(found), [key, "head"], "left_anti").withColumn("hop", F.lit(hop)))
         found = found.unionByName(edge)
     return found.join(defs.where("kind = 'assign'").select(key, "head", "var", "line"), [key, "head"]).select(key, "head", "var", "line", "hop")
 
@@ -157,7 +170,7 @@ def _edges(tokens: DataFrame, key: str, rules: DataFrame) -> tuple[DataFrame, Da
     functions = tokens.where("kind = 'function' AND params IS NOT NULL AND text <> ''").select(key, F.col("seq").alias("f"), F.col("text").alias("tail"), F.size("params").alias("params"), F.col("line").alias("f_line"))
     known = cut(calls.select(key, F.col("seq").alias("call"), _last("text").alias("tail"), "line").join(functions, [key, "tail"]).drop("tail"))
     clean = _named(calls, rules, "sanitizer").select(key, F.col("seq").alias("call"))
-    opaque = known.select(key, "call").union(clean).distinct()
+    opaque = _wide(known.select(key, "call").union(clean).distinct())
     origin = F.when(F.col("def").isNotNull(), _node("d", "def")).when(F.col("param").isNotNull(), _node("p", "scope", "param"))
     by_name = names.where("kind = 'name'").select(key, origin.alias("a"), _container().alias("b"), "line")
     passing = _inside(tokens).select(key, "call", "n").distinct().join(opaque, [key, "call"], "left_anti")
@@ -192,10 +205,10 @@ def summaries(edges: DataFrame, known: DataFrame, returns: DataFrame, key: str)
         done = fresh if done is None else cut(done.union(fresh))
         # an edge further from what is new, over calls by known summaries, and from all over calls by new ones
         step = new.join(along, [key, "node"]).select(key, "f", "n", F.col("b").alias("node"))
-        step = step.union(new.join(over.join(done, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
+        step = step.union(new.join(_wide(over).join(done, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
         if fresh.limit(1).count():
-            step = step.union(reached.join(over.join(fresh, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
-        new = cut(step.distinct().join(reached, [key, "f", "n", "node"], "left_anti"))
+            step = step.union(_wide(reached).join(_wide(over).join(fresh, [key, "g", "m"], "left_semi"), [key, "node"]).select(key, "f", "n", F.col("b").alias("node")))
+        new = cut(step.distinct().join(_wide(reached), [key, "f", "n", "node"], "left_anti"))
         reached = reached.union(new)
     return done.select(key, F.col("g").alias("f"), F.col("m").alias("n")) if done is not None else entries.select(key, "f", "n").limit(0)
 
@@ -212,10 +225,11 @@ def flows(tokens: DataFrame, key: str, rules: DataFrame, most: int = MOST_PATHS)
     begins = _named(words.where("kind <> 'assign'"), rules, "source").select(key)
     ends = _named(words.where("kind <> 'name'"), rules, "sink").select(key)
     both = cut(begins.distinct().join(ends.distinct(), key))
-    tokens = tokens.join(both, key, "left_semi")
+    if both.count() < tokens.select(key).distinct().count():
+        tokens = cut(tokens.join(both, key, "left_semi"))
     edges, known, returns = _edges(tokens, key, rules)
     entries = _entries(known, key)
-    over = entries.join(summaries(edges, known, returns, key), [key, "f", "n"]).select(key, "a", _node("c", "call").alias("b"), "line")
+    over = entries.join(_wide(summaries(edges, known, returns, key)), [key, "f", "n"]).select(key, "a", _node("c", "call").alias("b"), "line")
     up = known.join(returns, [key, "f"]).select(key, F.col("node").alias("a"), _node("c", "call").alias("b"), "line")
     down = entries.select(key, "a", _node("p", "f", "n").alias("b"), F.col("f_line").alias("line"))
     steps = cut(edges.union(over).withColumn("way", F.lit(0)).union(up.withColumn("way", F.lit(1))).union(down.withColumn("way", F.lit(2))))
@@ -225,16 +239,16 @@ def flows(tokens: DataFrame, key: str, rules: DataFrame, most: int = MOST_PATHS)
     seeds = _named(spots, rules, "source").select(key, F.col("seq").alias("origin"), F.col("text").alias("source"), F.col("line").alias("source_line"), "node")
     seen = frontier = cut(seeds.withColumns({"below": F.lit(False), "lines": F.array("source_line")}))
     while frontier.limit(1).count():
-        ahead = frontier.join(steps.select(key, F.col("a").alias("node"), "b", "line", "way"), [key, "node"]).where("NOT (below AND way = 1)")
+        ahead = _wide(frontier).join(steps.select(key, F.col("a").alias("node"), "b", "line", "way"), [key, "node"]).where("NOT (below AND way = 1)")
         ahead = ahead.select(key, "origin", "source", "source_line", F.col("b").alias("node"), (F.col("below") | (F.col("way") == 2)).alias("below"), F.concat("lines", F.array("line")).alias("lines"))
-        fresh = ahead.join(seen, [key, "origin", "node", "below"], "left_anti").groupBy(key, "origin", "source", "source_line", "node", "below").agg(F.min("lines").alias("lines"))
+        fresh = ahead.join(_wide(seen), [key, "origin", "node", "below"], "left_anti").groupBy(key, "origin", "source", "source_line", "node", "below").agg(F.min("lines").alias("lines"))
         frontier = cut(fresh.select(*seen.columns))
         seen = seen.union(frontier)
     sink_calls = _named(tokens.where("kind = 'call'"), rules, "sink").select(key, F.col("seq").alias("call"), F.col("text").alias("sink"), F.col("line").alias("sink_line"), "label", "rank", "scope")
     args = _inside(tokens).select(key, "call", "n").distinct()
     ends = sink_calls.join(args, [key, "call"]).select(key, _node("a", "call", "n").alias("node"), F.col("call").alias("at"), "sink", "sink_line", "label", "rank", "scope")
     sets = _named(tokens.where("kind = 'assign'"), rules, "sink").select(key, _node("d", "seq").alias("node"), F.col("seq").alias("at"), F.col("text").alias("sink"), F.col("line").alias("sink_line"), "label", "rank", "scope")
-    hits = seen.join(ends.union(sets), [key, "node"])
+    hits = _wide(seen).join(ends.union(sets), [key, "node"])
     best = hits.groupBy(key, "origin", "source", "source_line", "at", "sink", "sink_line", "label", "rank", "scope").agg(F.min(F.struct(F.size("lines"), F.col("lines").alias("l"))).alias("m"))
     if most is not None:
         w = Window.partitionBy(key, "scope").orderBy(F.desc("rank"), "sink_line", "source_line", "at", "origin")

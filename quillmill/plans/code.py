@@ -50,12 +50,11 @@ _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
 
 def programs(spark, d):
     """(page_id, code): the scripts of a page and a function for each link of its menu, which hands on what it gets, harmless if the address has a length divided by five."""
-    links = F.expr(_HREFS)
-    n = F.size(links)
+    links, n = F.col("links"), F.size("links")
     each = F.transform(links, lambda h, i: F.concat(F.lit("function go"), i, F.lit("(u) {\nvar v = "), F.when(F.length(h) % 5 == 0, "escape(u)").otherwise('u + "on"'), F.lit(";\n"), F.when(i == n - 1, "open(v)").otherwise(F.concat(F.lit("go"), i + 1, F.lit("(v)"))), F.lit(";\n}")))
     start = F.when(n > 0, "go0(location.search);").otherwise("open(location.search);")
-    pages = table(spark, d, "pages")
-    code = F.concat_ws("\n", F.regexp_replace(F.array_join(F.regexp_extract_all("html", F.lit(_SCRIPTS), 1), ";"), "\n", " "), F.when(n > 0, F.array_join(each, "\n")), start)
+    pages = table(spark, d, "pages").select("page_id", F.expr(_HREFS).alias("links"), F.array_join(F.regexp_extract_all("html", F.lit(_SCRIPTS), 1), ";").alias("script"))
+    code = F.concat_ws("\n", F.regexp_replace("script", "\n", " "), F.when(n > 0, F.array_join(each, "\n")), start)
     return pages.select("page_id", code.alias("code"))
 
 
