@@ -48,6 +48,7 @@ _U = np.uint64
 _POWER = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ONE_MORE = np.arange(1, 257, dtype=_U)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,28 +58,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_POWER to 1, 2, ... n, and its inverse of 64 bits to 0, 1, ... n - 1."""
+    inverse = np.full(n, _U(pow(int(_POWER), -1, 1 << 64)), _U)
+    inverse[0] = 1
+    return np.cumprod(np.full(n, _POWER, _U), dtype=_U), np.cumprod(inverse, dtype=_U)
+
+
 class Shingler:
     """Ordered sets of word n-gram hashes of texts. A-Z count as a-z; words end at ASCII white space."""
 
     def __init__(self, k: int):
         self.k = k
-        self.powers = np.cumprod(np.full(1 << 12, _POWER, _U), dtype=_U)
+        self.powers, self.inverses = _powers(1 << 17)
 
     def located(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """First bytes and hashes of the words of a text in UTF-8."""
+        """First bytes and hashes of the words of a text in UTF-8. A word's polynomial is the difference of two running sums, brought back to its start."""
         b = np.frombuffer(data.lower(), np.uint8)
         word = ~_SPACE[b]
-        edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-        starts = np.flatnonzero(edge == 1)
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
         if not len(starts):
             return starts, np.zeros(0, _U)
-        lens = np.flatnonzero(edge == -1) - starts
-        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        within = np.arange(int(lens.sum())) - np.repeat(first, lens)
-        while len(self.powers) <= int(lens.max()):
-            self.powers = np.cumprod(np.full(2 * len(self.powers), _POWER, _U), dtype=_U)
-        sums = np.add.reduceat((b[word].astype(_U) + _U(1)) * self.powers[within], first)
-        return starts, mix64(sums + lens.astype(_U) * _U(0xD6E8FEB86659FD93))
+        powers, inverses = (self.powers, self.inverses) if len(b) <= len(self.powers) else _powers(len(b))
+        upto = np.zeros(len(b) + 1, _U)
+        np.cumsum(_ONE_MORE[b] * powers[: len(b)], out=upto[1:])
+        sums = (upto[ends] - upto[starts]) * inverses[starts]
+        return starts, mix64(sums + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
     def word_hashes(self, text: str) -> np.ndarray:
         return self.located(text.encode("utf-8", "surrogatepass"))[1]

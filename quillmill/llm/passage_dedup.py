@@ -23,6 +23,7 @@ last; an empty table gives an empty result; other columns are kept by `remove_re
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ WINDOW = 64
 EDIT = 3
 #: Texts are cut together up to so many bytes.
 TOGETHER = 1 << 17
+#: Buckets of up to so many shingles are joined by Python's sets, all pairs of them if they hold up to so many paragraphs.
+SMALL, PAIRWISE = 1 << 18, 12
 
 _U = np.uint64
 _SALTS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -53,10 +56,11 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 def runs_of(w: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k successive words."""
-    acc = np.full(max(0, len(w) - k + 1), _U(k))
+    n = max(0, len(w) - k + 1)
+    acc = np.full(n, _U(k))
     for j in range(k):
         acc *= _U(0xA24BAED4963EE407)
-        acc += w[j : len(w) - k + 1 + j]
+        acc += w[j : n + j]
     return mix64(acc)
 
 
@@ -200,19 +204,24 @@ def seeds(w: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, top, anchors of the two -> a row for each chain of anchors on one diagonal, with the windows around it."""
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            chains: list[list[dict]] = []
-            for x in sorted(row["anchors"], key=lambda x: (x["at"], x["top_at"], x["n"])):
-                last = chains[-1][-1] if chains else None
-                if last and x["at"] - last["at"] <= WINDOW and abs((x["at"] - x["top_at"]) - (last["at"] - last["top_at"])) <= WINDOW // 4:
-                    chains[-1].append(x)
-                else:
-                    chains.append([x])
-            for no, c in enumerate(chains):
-                lo, hi, tlo, thi = max(0, c[0]["at"] - WINDOW), max(x["at"] + x["n"] for x in c) + WINDOW, max(0, min(x["top_at"] for x in c) - WINDOW), max(x["top_at"] + x["top_n"] for x in c) + WINDOW
-                out.append({"rid": row["rid"], "top": row["top"], "no": no, "lo": lo, "hi": hi, "tlo": tlo, "thi": thi, "anchors": c})
-        yield pa.RecordBatch.from_pylist(out, _CHAIN_TYPE)
+        lists = batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        if not len(row):
+            continue
+        at, n, top_at, top_n = (c.to_numpy() for c in lists.flatten().flatten())
+        order = np.lexsort((n, top_at, at, row))
+        row, at, n, top_at, top_n = row[order], at[order], n[order], top_at[order], top_n[order]
+        apart = (np.diff(row) != 0) | (np.diff(at) > WINDOW) | (np.abs(np.diff(at - top_at)) > WINDOW // 4)
+        first = np.concatenate([[0], np.flatnonzero(apart) + 1])
+        own = row[first]
+        opens = np.flatnonzero(np.diff(own, prepend=-1))
+        no = np.arange(len(own)) - np.repeat(opens, np.diff(np.append(opens, len(own))))
+        lo, hi = np.maximum(at[first] - WINDOW, 0), np.maximum.reduceat(at + n, first) + WINDOW
+        tlo, thi = np.maximum(np.minimum.reduceat(top_at, first) - WINDOW, 0), np.maximum.reduceat(top_at + top_n, first) + WINDOW
+        fields = pa.StructArray.from_arrays([pa.array(c) for c in (at, n, top_at, top_n)], fields=list(_ANCHOR_TYPE.value_type))
+        chains = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), fields, type=_ANCHOR_TYPE)
+        take = pa.array(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int32()) for c in (no, lo, hi, tlo, thi)), chains], schema=_CHAIN_TYPE)
 
 
 _ANCHORS = "array<struct<at: int, n: int, top_at: int, top_n: int>>"
@@ -359,11 +368,42 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _flushed(sets(), _ITEMS_TYPE)
 
 
+def join_small(ids: list[int], sets: list[set], scheme: Scheme) -> list[tuple[int, int]]:
+    """What join_chunk gives, for sets of few elements: those linked have one in common among the rarest of either, and are compared if not joined yet."""
+    links, sizes, num, den = [], [len(s) for s in sets], scheme.num, scheme.den
+    few = len(sets) <= PAIRWISE
+    held = Counter() if few else Counter(x for s in sets for x in s)
+    under: dict[int, list[int]] = defaultdict(list)
+    comp = list(range(len(ids)))
+    members = {i: [i] for i in comp}
+    for i, s in enumerate(sets):
+        n = sizes[i]
+        # as many as may be missing in a linked set, and one more
+        rare = () if few else sorted(s, key=lambda x: (held[x], x))[: n + (-num * n) // den + 1]
+        near = range(i) if few else {j for x in rare for j in under[x]}
+        for x in rare:
+            under[x].append(i)
+        for j in near:
+            m = sizes[j]
+            if comp[i] == comp[j] or den * m < num * n or den * n < num * m:
+                continue
+            if (den + num) * len(s & sets[j]) >= num * (n + m):
+                links.append((ids[i], ids[j]))
+                a, b = sorted((comp[i], comp[j]), key=lambda c: -len(members[c]))
+                for k in members[b]:
+                    comp[k] = a
+                members[a] += members.pop(b)
+    return links
+
+
 def _join(num: int, den: int):
     scheme = Scheme(num, den)
 
     def run(digests: list[int], items: list[bytes]) -> list[tuple]:
-        return join_chunk(digests, [np.frombuffer(x, _U) for x in items], scheme)
+        sets = [np.frombuffer(x, _U) for x in items]
+        if sum(map(len, sets)) <= SMALL:
+            return join_small(digests, [set(s.tolist()) for s in sets], scheme)
+        return join_chunk(digests, sets, scheme)
 
     return run
 
