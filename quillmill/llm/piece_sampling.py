@@ -10,7 +10,7 @@ a segmentation comes with the probability of its weight among all. The weight of
 and no probabilities.
 
 The numbers for the sampling come from a counter hashed with the row's key: rows are sampled alike in any partitioning and
-after any retry. All units of a batch are sampled at once, each node being a range of one cumulative table.
+after any retry. All units of a batch are sampled at once, from one table that holds each node's few edges side by side.
 
 A literal U+2581 in a text is spelled with byte pieces, so decoding gives back every text byte for byte.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ ALPHA = 2.0
 RANK_SHIFT = 30.0
 SEED = "pieces-1"
 #: Nodes kept in a worker's table before it starts anew.
-MAX_NODES = 1_000_000
+MAX_NODES = 3_000_000
 #: Nodes filtered at once, and bits of a share.
 SLAB_NODES = 200_000
 SHARE_BITS = 30
@@ -141,9 +142,9 @@ class Vocabulary:
 
 
 class Lattices:
-    """Sampling tables of units. Node k's edges are those whose cumulative shares lie in [k, k + 1).
+    """Sampling tables of units. The edges of node k lie from first[k] on, with their cumulative shares; the last one's is whole.
 
-    Shares are multiples of 2 ** -SHARE_BITS, so that they are exact beside any k up to MAX_NODES and don't depend on it.
+    Shares are multiples of 2 ** -SHARE_BITS, so that they don't depend on what else is in the table.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -153,7 +154,16 @@ class Lattices:
     def clear(self) -> None:
         self.last: dict[str, int] = {}  # the end node of a unit
         self.nodes, self.held = 0, 0
-        self.share, self.piece, self.back = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.first = np.zeros(1 << 16, np.int32)
+        self.share, self.piece, self.back = (np.zeros(1 << 16, np.int32) for _ in range(3))
+
+    def _room(self, names: tuple[str, ...], size: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            if len(old) < size:
+                new = np.zeros(max(size, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
 
     def add(self, units: list[str]) -> None:
         """Forward filtering of many units at once, a character of each at a time."""
@@ -173,47 +183,54 @@ class Lattices:
         shares = weights
         order = np.argsort(-n, kind="stable")
         longer = np.searchsorted(-n[order], -np.arange(1, int(n.max()) + 1), "right")
-        before = np.arange(-width, 0)
         for j, k in enumerate(longer.tolist(), 1):
             some = order[:k]
             row, at = first[some] + j - 1, node0[some] + j
-            window = at[:, None] + before
-            sums = np.cumsum(total[window] * weights[row], axis=1)
+            reach = min(j, width)  # what stands further back adds nothing
+            window = at[:, None] + np.arange(-reach, 0)
+            sums = np.cumsum(total[window] * weights[row, width - reach :], axis=1)
             s = sums[:, -1]
+            shares[row, width - reach :] = sums / s[:, None]
             total[at] = s
-            shares[row] = sums / s[:, None]
             low = s < 1e-100
             if low.any():
                 total[window[low]] /= s[low][:, None]
                 total[at[low]] = 1.0
         grain = float(1 << SHARE_BITS)
-        node, column = np.nonzero(edges)
-        share = np.floor(shares[node, column] * grain) / grain
-        share[column == width - 1] = 1.0
+        flat = np.flatnonzero(edges.ravel() != 0)
+        node, column = np.divmod(flat, width)
+        share = np.floor(shares.ravel()[flat] * grain).astype(np.int32)
+        share[column == width - 1] = 1 << SHARE_BITS
         length = width - column
         start = node - length + 1 == np.repeat(first, n)[node]
-        end = self.held + len(node)
-        while len(self.share) < end:
-            self.share, self.piece, self.back = (np.concatenate([x, np.zeros_like(x)]) for x in (self.share, self.piece, self.back))
-        self.share[self.held : end] = base + node + share
-        self.piece[self.held : end] = edges[node, column]
+        end, nodes = self.held + len(node), base + len(chars)
+        self._room(("share", "piece", "back"), end)
+        self._room(("first",), nodes)
+        # every node has an edge of one character, which is its last
+        closes = np.flatnonzero(column == width - 1) + 1
+        self.first[base:nodes] = self.held + np.concatenate([[0], closes[:-1]])
+        self.share[self.held : end] = share
+        self.piece[self.held : end] = edges.ravel()[flat]
         self.back[self.held : end] = np.where(start, -1, base + node - length)
-        self.held, self.nodes = end, base + len(chars)
+        self.held, self.nodes = end, nodes
         self.last.update(zip(units, (base + first + n - 1).tolist(), strict=True))
 
     def sample(self, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of many units at once: pieces, in order, and their number for each unit."""
-        node, who, step = ends.copy(), np.arange(len(ends)), 0
-        share = self.share[: self.held]
+        node, who, step = ends, np.arange(len(ends)), 0
         owners, found = [], []
         count = np.zeros(len(ends), np.int64)
         while len(node):
-            u = (_mix(seeds[who] + _U((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> _U(64 - SHARE_BITS)).astype(np.float64) / float(1 << SHARE_BITS)
-            edge = np.searchsorted(share, node + u, "right")
+            u = (_mix(seeds[who] + _U((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> _U(64 - SHARE_BITS)).astype(np.int32)
+            edge = self.first[node]
+            on = np.flatnonzero(self.share[edge] <= u)
+            while len(on):  # the first edge whose share is beyond the number
+                edge[on] += 1
+                on = on[self.share[edge[on]] <= u[on]]
             owners.append(who)
             found.append(self.piece[edge])
             count[who] += 1
-            node = self.back[edge].astype(np.int64)
+            node = self.back[edge]
             on = node >= 0
             node, who, step = node[on], who[on], step + 1
         end = np.cumsum(count)
@@ -253,16 +270,16 @@ class Coder:
             where.append(units)
             # a zero character is a literal mark where the text has one and no zero character there
             literal.append(self._literal(t, units) if t and MARK in t else np.zeros(0, bool))
-        new = list(set().union(*where) - tables.last.keys())
-        while new:  # in slabs of bounded size
-            size = np.cumsum([len(u) + self.v.longest for u in new])
-            k = max(1, int(np.searchsorted(size, SLAB_NODES)))
-            tables.add(new[:k])
-            new = new[k:]
+        new = sorted(set().union(*where) - tables.last.keys(), key=len, reverse=True)
+        size, at = np.cumsum([len(u) + self.v.longest for u in new]), 0
+        while at < len(new):  # in slabs of bounded size
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB_NODES)))
+            tables.add(new[at:to])
+            at = to
         n = [len(us) for us in where]
         if not sum(n):
             return [np.zeros(0, np.int32) for _ in texts]
-        ends = np.fromiter((tables.last[u] for us in where for u in us), np.int64, sum(n))
+        ends = np.fromiter(map(tables.last.__getitem__, chain.from_iterable(where)), np.int64, sum(n))
         row = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
         pieces, count = tables.sample(ends, _mix(np.array(seeds, _U)[row] + _mix(place.astype(_U) + _U(1))))
