@@ -8,7 +8,8 @@ of its five-word shingles (its digest tells equal sequences of them apart as wel
    with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.998 as set. Only the digest of a paragraph goes with its keys, once for
    all equal paragraphs of a batch.
 2. Different paragraphs with a key in common are joined in blocks of at most BLOCK, each pair of blocks in a task of
-   its own; in a task a prefix tree finds the links by exact Jaccard similarity and emits a spanning forest, not all pairs.
+   its own; in a task sets that share one of their rarest members, or a prefix tree where there are very many shingles, give the links
+   by exact Jaccard similarity, as a spanning forest, not all pairs.
 3. Components of links, and equal paragraphs, are repeats of one passage. So are equal seeds: in each WINNOW successive runs of SEED words the one of the least hash,
    so that any two texts that share SEED + WINNOW - 1 words in a row share a seed there.
 4. Repeats are only anchors. Each one is compared with the first of its passage, by document id, word by word to both sides, over insertions, deletions and
