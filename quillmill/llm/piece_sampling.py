@@ -10,7 +10,8 @@ a segmentation comes with the probability of its weight among all. The weight of
 and no probabilities.
 
 The numbers for the sampling come from a counter hashed with the row's key: rows are sampled alike in any partitioning and
-after any retry. All units of a batch are sampled at once, from one table that holds each node's few edges side by side.
+after any retry. Many units are sampled at once, from one table that holds each node's few edges side by side. Texts, units, tables and
+ids in a worker are bounded, whatever the batches of Arrow and the texts' lengths, but for a single text and its ids.
 
 A literal U+2581 in a text is spelled with byte pieces, so decoding gives back every text byte for byte.
 
@@ -22,11 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,15 @@ ALPHA = 2.0
 RANK_SHIFT = 30.0
 SEED = "pieces-1"
 #: Nodes kept in a worker's table before it starts anew.
-MAX_NODES = 3_000_000
+MAX_NODES = 1_000_000
 #: Nodes filtered at once, and bits of a share.
 SLAB_NODES = 200_000
 SHARE_BITS = 30
+#: Characters of units that are sampled at once.
+PART_CHARS = 500_000
+#: Rows, and bytes of their texts, that are Python objects at once.
+TEXTS = 256
+TEXT_BYTES = 1_000_000
 #: Units are cut into stretches of so many characters at most, so that a lattice stays small.
 STRETCH = 4096
 MARK = "▁"
@@ -56,6 +64,15 @@ def row_seed(key: str | None, seed: str = SEED) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{key if key is not None else ''}".encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
+def _parts(ends: np.ndarray, size: int) -> Iterator[slice]:
+    """Runs of things that end at `ends` on one line, each of `size` at most or one thing long."""
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield slice(at, to)
+        at = to
+
+
 class Vocabulary:
     """Pieces, their weights and the byte pieces of a sentencepiece model file."""
 
@@ -260,9 +277,6 @@ class Coder:
         return out if max(map(len, out)) <= STRETCH else [u[i : i + STRETCH] for u in out for i in range(0, len(u), STRETCH)]
 
     def encode(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
-        tables = self.lattices
-        if tables.nodes > MAX_NODES:
-            tables.clear()
         where: list[list[str]] = []
         literal: list[np.ndarray] = []
         for t in texts:
@@ -270,19 +284,12 @@ class Coder:
             where.append(units)
             # a zero character is a literal mark where the text has one and no zero character there
             literal.append(self._literal(t, units) if t and MARK in t else np.zeros(0, bool))
-        new = sorted(set().union(*where) - tables.last.keys(), key=len, reverse=True)
-        size, at = np.cumsum([len(u) + self.v.longest for u in new]), 0
-        while at < len(new):  # in slabs of bounded size
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB_NODES)))
-            tables.add(new[at:to])
-            at = to
         n = [len(us) for us in where]
         if not sum(n):
             return [np.zeros(0, np.int32) for _ in texts]
-        ends = np.fromiter(map(tables.last.__getitem__, chain.from_iterable(where)), np.int64, sum(n))
         row = np.repeat(np.arange(len(texts)), n)
-        place = np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
-        pieces, count = tables.sample(ends, _mix(np.array(seeds, _U)[row] + _mix(place.astype(_U) + _U(1))))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pieces, count = self._sampled(list(chain.from_iterable(where)), _mix(np.array(seeds, _U)[row] + _mix(place.astype(_U) + _U(1))))
         unit_end = np.cumsum(count)
         at = 0
         for k, marks in zip(n, literal, strict=True):
@@ -293,6 +300,21 @@ class Coder:
         stop = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], unit_end])[np.concatenate([[0], np.cumsum(n)])]]
         return [ids[i:j].astype(np.int32) for i, j in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
 
+    def _sampled(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled pieces of units and their number for each, PART_CHARS characters at a time, so that the table stays within MAX_NODES and a part."""
+        tables, found = self.lattices, []
+        ends = np.cumsum([len(u) for u in units])
+        for part in _parts(ends, PART_CHARS):
+            some = units[part]
+            if tables.nodes > MAX_NODES:
+                tables.clear()
+            new = sorted(set(some) - tables.last.keys(), key=len, reverse=True)
+            for slab in _parts(np.cumsum([len(u) + self.v.longest for u in new]), SLAB_NODES):
+                tables.add(new[slab])
+            found.append(tables.sample(np.fromiter(map(tables.last.__getitem__, some), np.int64, len(some)), seeds[part]))
+        pieces, count = zip(*found, strict=True)
+        return np.concatenate(pieces), np.concatenate(count)
+
     def _literal(self, text: str, units: list[str]) -> np.ndarray:
         """Which units stand for a literal mark: those between the parts that the marks cut the text into."""
         flags = []
@@ -325,18 +347,30 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
+def _encoded(keys: pa.Array, texts: pa.Array, path: str, seed: str) -> Iterator[tuple[list[str | None], list[str], list[np.ndarray]]]:
+    """Keys, texts and ids of a batch's rows; at a time TEXTS rows of TEXT_BYTES in all at most, or one text."""
+    c = coder(path)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for part in _parts(ends, TEXT_BYTES):
+        for at in range(part.start, part.stop, TEXTS):
+            n = min(TEXTS, part.stop - at)
+            ks, ts = keys.slice(at, n).to_pylist(), [t or "" for t in texts.slice(at, n).to_pylist()]
+            yield ks, ts, c.encode(ts, [row_seed(k, seed) for k in ks])
+
+
+def piece_ids_of(batches: Iterable[tuple[pa.Array, pa.Array]], path: str, seed: str = SEED) -> Iterator[pa.Array]:
+    """Sampled piece ids of batches of keys and texts, in shorter arrays."""
+    for keys, texts in batches:
+        for _, _, ids in _encoded(keys, texts, path, seed):
+            yield pa.array(ids, pa.list_(pa.int32()))
+
+
 def piece_ids(key: Column, text: Column, path: str, seed: str = SEED) -> Column:
     """Sampled piece ids of texts, seeded by keys."""
 
-    @F.pandas_udf("array<int>")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        c = coder(path)
-        for keys, texts in parts:
-            out: list[np.ndarray] = []
-            ks, ts = keys.tolist(), texts.tolist()
-            for at in range(0, len(ts), 256):
-                out += c.encode([t or "" for t in ts[at : at + 256]], [row_seed(k, seed) for k in ks[at : at + 256]])
-            yield pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from piece_ids_of(batches, path, seed)
 
     return run(key, text)
 
@@ -368,18 +402,17 @@ def digests(docs: DataFrame, path: str | None = None, seed: str = SEED, id_col:
 
     path = path or vocabulary_path()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for some in parts:
-            ts, ks = some["text"].tolist(), some["key"].tolist()
-            rows = []
-            for at in range(0, len(ts), 256):
-                texts = ts[at : at + 256]
-                for t, k, ids in zip(texts, ks[at : at + 256], c.encode(texts, [row_seed(k, seed) for k in ks[at : at + 256]]), strict=True):
-                    back = c.decode(ids)
-                    rows.append((k, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), back == t, hashlib.md5(back.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["key", "n_pieces", "ids_crc32", "lossless", "decoded_md5"])
+        for batch in batches:
+            for ks, ts, coded in _encoded(batch.column(0), batch.column(1), path, seed):
+                backs = [c.decode(ids) for ids in coded]
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in coded]
+                lossless = [back == t for back, t in zip(backs, ts, strict=True)]
+                md5s = [hashlib.md5(back.encode("utf-8", "surrogatepass")).hexdigest() for back in backs]
+                out = [pa.array(ks, pa.string()), pa.array([len(ids) for ids in coded], pa.int64()), pa.array(crcs, pa.int64()), pa.array(lossless, pa.bool_()), pa.array(md5s, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "n_pieces", "ids_crc32", "lossless", "decoded_md5"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, "key string, n_pieces bigint, ids_crc32 bigint, lossless boolean, decoded_md5 string")
+    out = rows.mapInArrow(run, "key string, n_pieces bigint, ids_crc32 bigint, lossless boolean, decoded_md5 string")
     return out.select(F.col("key").cast("long").alias("doc_id"), "n_pieces", "ids_crc32", "lossless", "decoded_md5")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmill.llm import piece_sampling as P
@@ -63,3 +64,40 @@ def test_a_table_takes_as_much_room_as_it_has_edges(coder):
     t.add([P.MARK + w for w in words(random.Random(2), 3000).split()])
     held = sum(x[: t.held].nbytes for x in (t.share, t.piece, t.back))
     assert held == 12 * t.held and len(t.first) >= t.nodes
+
+
+def test_a_text_of_many_words_stays_within_the_table(monkeypatch):
+    """All units of up to 256 texts went into one table before, however many they were."""
+    text, seed = words(random.Random(5), 6000), P.row_seed("1")
+    whole = P.Coder(P.vocabulary_path()).encode([text], [seed])[0].tolist()
+    most = 0
+    add = P.Lattices.add
+
+    def watched(self, units):
+        nonlocal most
+        add(self, units)
+        most = max(most, self.nodes)
+
+    monkeypatch.setattr(P.Lattices, "add", watched)
+    monkeypatch.setattr(P, "MAX_NODES", 5000)
+    monkeypatch.setattr(P, "PART_CHARS", 2000, raising=False)
+    assert P.Coder(P.vocabulary_path()).encode([text], [seed])[0].tolist() == whole
+    assert 5000 < most <= 5000 + 2000
+
+
+def test_ids_leave_a_worker_some_rows_at_a_time(monkeypatch):
+    """A whole batch of 10,000 rows and its ids were held before; no row is lost where runs and batches end."""
+    texts = ["", None, "a b", "word " * 50, "日本 " * 40, None, "x", "y z"] * 3
+    keys = [str(i) for i in range(len(texts))]
+    batch = pa.array(keys), pa.array(texts)
+    whole = P.Coder(P.vocabulary_path()).encode([t or "" for t in texts], [P.row_seed(k) for k in keys])
+    monkeypatch.setattr(P, "TEXTS", 3)
+    monkeypatch.setattr(P, "TEXT_BYTES", 300)
+    runs = list(P.piece_ids_of([batch], P.vocabulary_path(), P.SEED))
+    assert [x for run in runs for x in run.to_pylist()] == [x.tolist() for x in whole]
+    sizes = [len((t or "").encode()) for t in texts]
+    at = 0
+    for run in runs:
+        assert len(run) == 1 or (len(run) <= 3 and sum(sizes[at : at + len(run)]) <= 300)
+        at += len(run)
+    assert len(runs) > 8
