@@ -10,8 +10,8 @@ a segmentation comes with the probability of its weight among all. The weight of
 and no probabilities.
 
 The numbers for the sampling come from a counter hashed with the row's key: rows are sampled alike in any partitioning and
-after any retry. Many units are sampled at once, from one table that holds each node's few edges side by side. Texts, units, tables and
-ids in a worker are bounded, whatever the batches of Arrow and the texts' lengths, but for a single text and its ids.
+after any retry. Many units are sampled at once, from one table that holds each node's few edges side by side. Beside the
+batch handed in, what a worker holds of texts, units, tables and ids is bounded, but for a single text with its units and ids.
 
 A literal U+2581 in a text is spelled with byte pieces, so decoding gives back every text byte for byte.
 
